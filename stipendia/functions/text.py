@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stipendia.functions import lexicon
-from stipendia.functions.scalars import first_case, is_true, kept, matches
+from stipendia.functions.scalars import first_case, is_true, kept, matches, regex
 
 
 def word_list(text: Column) -> Column:
@@ -62,7 +62,7 @@ def mask_account(value: Column) -> Column:
 
 def mask_identities_in_text(text: Column) -> Column:
     """Every 12-digit number of a text, grouped by four or not, keeps its last four digits."""
-    return F.regexp_replace(text, r"(?<!\d)\d{4}[ -]?\d{4}[ -]?(\d{4})(?!\d)", "XXXX-XXXX-$1")
+    return F.regexp_replace(text, regex(r"\b\d{4}[ -]?\d{4}[ -]?(\d{4})\b"), "XXXX-XXXX-$1")
 
 
 def entities(text: Column) -> Column:

@@ -116,9 +116,9 @@ def application_export(rows: DataFrame) -> DataFrame:
 
 def required_action(kind: Column) -> Column:
     return first_case([
-        (kind.isin("UNREADABLE_DOCUMENT", "MISSING_DOCUMENT"), "Upload clear and legible copy of document"),
-        (kind == "DATA_MISMATCH", "Contact issuing authority or correct registration information")],
-        "Review and resolve with college office")
+        (kind == "UNCLEAR_DOCUMENT", "Upload clear and legible copy of document"),
+        (kind == "INVALID_INFORMATION", "Contact issuing authority or correct registration information")],
+        "Verify and submit corrected document metadata")
 
 
 def deficiency_export(deficiencies: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def payment_totals(payments: DataFrame, keys: list[str] | None = None) -> DataFr
 
 def payments_per_application(payments: DataFrame) -> DataFrame:
     """All instalments of an application in one row, with the state of the latest instalment."""
-    latest = F.struct("instalment", "payment_id")
+    latest = F.struct("instalment", "payment_id", "payment_status")
     return payments.groupBy("application_id").agg(
         F.count(F.lit(1)).alias("instalments"), total("sanctioned", "sanctioned_total"),
         total("paid", "paid_total", confirmed()),

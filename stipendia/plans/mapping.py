@@ -62,7 +62,7 @@ PAYMENTS = [
 DEFICIENCIES = [
     "l_orderkey AS application_id",
     "CASE WHEN l_tax < 0.015 THEN 'MISSING_DOCUMENT' WHEN l_tax < 0.025 THEN 'DATA_MISMATCH'"
-    " WHEN l_tax < 0.045 THEN 'EXPIRED_CERTIFICATE' WHEN l_tax < 0.065 THEN 'UNREADABLE_DOCUMENT'"
+    " WHEN l_tax < 0.045 THEN 'INVALID_INFORMATION' WHEN l_tax < 0.065 THEN 'UNCLEAR_DOCUMENT'"
     " ELSE 'OTHER' END AS deficiency_type",
     "CASE WHEN l_quantity < 15 THEN 'LOW' WHEN l_quantity < 35 THEN 'MEDIUM' ELSE 'HIGH' END AS severity",
     "CASE WHEN l_linestatus = 'O' THEN 'OPEN' ELSE 'RESOLVED' END AS status", "l_shipdate AS created_at",
@@ -75,11 +75,68 @@ REVIEWS = [
 HISTORY = ["event_id AS history_id", "user_id AS application_id", "event_type AS new_status",
            "ts AS changed_at", "value", "props"]
 
+PROFILES = [
+    "c_custkey AS student_id",
+    "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 5000 THEN 'Girls' ELSE 'Boys' END AS gender",
+    "CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal * 50) AS BIGINT) END AS income",
+    "CASE c_mktsegment WHEN 'BUILDING' THEN 'BC' WHEN 'AUTOMOBILE' THEN 'SC' WHEN 'MACHINERY' THEN 'MBC'"
+    " WHEN 'HOUSEHOLD' THEN 'General' END AS category",
+    "CASE r_name WHEN 'ASIA' THEN 'Tamil Nadu' WHEN 'EUROPE' THEN 'Tamil Nadu' WHEN 'AFRICA' THEN 'Kerala'"
+    " WHEN 'AMERICA' THEN 'Maharashtra' END AS state",
+    "CASE WHEN n_nationkey < 8 THEN 'Salem' WHEN n_nationkey < 16 THEN 'Chennai' END AS district",
+    "CASE WHEN c_acctbal < 1500 THEN 'Engineering' WHEN c_acctbal < 3000 THEN 'Medical' WHEN c_acctbal < 5000 THEN 'Arts'"
+    " WHEN c_acctbal < 7000 THEN 'Diploma' WHEN c_acctbal < 8500 THEN 'All' END AS course",
+    "CASE WHEN c_mktsegment = 'FURNITURE' THEN true WHEN c_acctbal < 3000 THEN false END AS disabled",
+    "CASE WHEN n_regionkey = 1 THEN true WHEN n_regionkey = 2 THEN false END AS govt_school",
+    "CASE WHEN n_nationkey < 10 THEN true WHEN n_nationkey < 20 THEN false END AS agri_labor",
+    "CASE WHEN n_nationkey >= 23 THEN 'farmer' END AS parent_occupation",
+    "CASE WHEN c_acctbal > 9000 THEN true WHEN c_acctbal > 4000 THEN false END AS armed_forces",
+    "CASE WHEN c_acctbal < 2000 THEN true WHEN c_acctbal < 6000 THEN false END AS first_graduate",
+    "CASE n_regionkey WHEN 0 THEN 'management' WHEN 4 THEN 'unknown' WHEN 3 THEN NULL ELSE 'government' END AS quota_type",
+]
+# Scheme catalogue of the checks (id, gender, income limit, category, state, district, course,
+# disability, government school, agricultural labour, armed forces, first graduate, quota, potential when disabled).
+SCHEMES = [
+    ("central-merit", "All", 450000, "General", "All-India", "All", "All", 0, 0, 0, 0, 0, 0, 0),
+    ("girls-degree", "Girls", 200000, "All", "Tamil Nadu", "All", "All", 0, 1, 0, 0, 0, 0, 0),
+    ("boys-degree", "Boys", 99999999, "All", "Tamil Nadu", "All", "All", 0, 0, 0, 0, 0, 0, 0),
+    ("bc-fee", "All", 250000, "BC", "Tamil Nadu", "All", "All", 0, 0, 0, 0, 0, 1, 0),
+    ("obc-post", "All", 300000, "OBC", "All", "All", "All", 0, 0, 0, 0, 0, 0, 0),
+    ("sc-engineering", "All", 250000, "SC", "All-India / National", "All", "Engineering", 0, 0, 0, 0, 0, 0, 0),
+    ("salem-farmers", "All", 150000, "All", "Tamil Nadu", "Salem", "All", 0, 0, 1, 0, 0, 0, 0),
+    ("special-ability", "All", 800000, "All", "All-India", "All", "Diploma", 1, 0, 0, 0, 0, 0, 1),
+    ("forces-wards", "All", 99999999, "All", "All-India", "All", "All", 0, 0, 0, 1, 0, 0, 0),
+    ("first-graduate", "All", 99999999, "All", "Tamil Nadu", "All", "All", 0, 0, 0, 0, 1, 0, 0),
+]
+SCHEME_FIELDS = ["scheme_id", "gender", "income_limit", "category", "state", "district", "course",
+                 "requires_disability", "requires_govt_school", "requires_agri_labor", "requires_armed_forces",
+                 "requires_first_graduate", "requires_govt_quota", "potential_if_disabled"]
+ROSTER = [
+    "c_custkey AS row_number", "c_nationkey AS college_id",
+    "CASE WHEN c_acctbal < -900 THEN '' ELSE concat('R', CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING_)) END"
+    " AS register_number",
+    "CASE WHEN c_acctbal > 9900 THEN NULL ELSE c_name END AS full_name",
+    "CASE WHEN c_mktsegment = 'HOUSEHOLD' AND c_acctbal < 500 THEN 'no-mail'"
+    " ELSE concat('S', CAST(c_custkey AS STRING_), '@Example.org') END AS email",
+]
+UPLOADS = [
+    "l_orderkey AS application_id",
+    "CASE l_returnflag WHEN 'A' THEN 'income' WHEN 'N' THEN 'community' ELSE 'marksheet' END AS document_type",
+    "CAST(l_orderkey * 1000000 + l_partkey AS BIGINT) AS verification_id", "l_shipdate AS processed_at",
+    "l_discount >= 0.08 AS mismatch",
+]
+
+
+def dialect(columns: list[str], text_type: str) -> list[str]:
+    return [c.replace("STRING_", text_type) for c in columns]
+
 
 def _sql_value(value) -> str:
     return "NULL" if value is None else (f"'{value}'" if isinstance(value, str) else f"{value:.2f}")
 
 
+_SCHEME_ROWS = ", ".join(
+    "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in SCHEMES)
 _RULE_ROWS = ", ".join("(" + ", ".join(_sql_value(v) for v in row) + ")" for row in RULES)
 
 VIEWS = {
@@ -118,6 +175,11 @@ VIEWS = {
     "deficiencies": f"SELECT {', '.join(DEFICIENCIES)} FROM lineitem WHERE l_returnflag = 'R'",
     "reviews": f"SELECT {', '.join(REVIEWS)} FROM lineitem",
     "history": f"SELECT {', '.join(HISTORY)} FROM events",
+    "profiles": f"SELECT {', '.join(PROFILES)} FROM customer JOIN nation ON c_nationkey = n_nationkey"
+                " JOIN region ON n_regionkey = r_regionkey",
+    "schemes": f"SELECT * FROM (VALUES {_SCHEME_ROWS}) AS s({', '.join(SCHEME_FIELDS)})",
+    "roster": f"SELECT {', '.join(dialect(ROSTER, 'VARCHAR'))} FROM customer",
+    "uploads": f"SELECT {', '.join(UPLOADS)} FROM lineitem",
     "tickets": "SELECT event_id AS ticket_id, user_id AS student_id, ts AS opened_at, value AS weight"
                " FROM events WHERE event_type = 'error'",
 }
@@ -210,6 +272,28 @@ class Tables:
     def reviews(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(*REVIEWS)
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        customer, nation, region = self.raw("customer"), self.raw("nation"), self.raw("region")
+        return (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+                .join(region, nation.n_regionkey == region.r_regionkey).selectExpr(*PROFILES))
+
+    @cached_property
+    def schemes(self) -> DataFrame:
+        types = ["string", "string", "long"] + ["string"] * 4 + ["int"] * 7
+        df = self.spark.createDataFrame(SCHEMES, ", ".join(f"{n} {t}" for n, t in zip(SCHEME_FIELDS, types)))
+        flags = {c: F.col(c) == 1 for c in SCHEME_FIELDS[7:]}
+        return df.withColumns(flags).withColumn(
+            "potential_courses", F.array(F.lit("Engineering"), F.lit("Diploma")))
+
+    @cached_property
+    def roster(self) -> DataFrame:
+        return self.raw("customer").selectExpr(*dialect(ROSTER, "STRING"))
+
+    @cached_property
+    def uploads(self) -> DataFrame:
+        return self.raw("lineitem").selectExpr(*UPLOADS)
+
     @cached_property
     def history(self) -> DataFrame:
         return self.raw("events").selectExpr(*HISTORY)
