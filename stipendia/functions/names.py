@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stipendia.functions import lexicon
-from stipendia.functions.scalars import (any_of, extract, filled, first_case, is_true, kept, matches,
+from stipendia.functions.scalars import (any_of, extract, filled, first_case, is_true, kept, let, matches,
                                          present, regex, replace_all)
 
 _HONORIFIC = (r"^(?:(?:" + "|".join(re.escape(h) for h in lexicon.HONORIFICS)
@@ -255,82 +255,94 @@ def _letters(word: Column) -> Column:
 
 def is_plausible_name(clean: Column) -> Column:
     """Whether cleaned text reads as a personal name."""
-    words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
-
     def word_ok(word: Column) -> Column:
-        letters = _letters(word)
+        return let(_letters(word), lambda letters: shape_ok(letters)) & word.rlike(r"^[A-Za-z.'-]+$")
+
+    def shape_ok(letters: Column) -> Column:
         single = F.length(letters) <= 1
         run4 = letters.rlike(f"(?i)[{_CONSONANTS}]{{4,}}") & ~letters.rlike("(?i)kshm|rshn|kshr|ndrs|rthm|rshm")
         good = (letters.rlike("(?i)[aeiouy]") & ~letters.rlike(f"(?i)[{_CONSONANTS}]{{5,}}")
                 & ~run4 & ~letters.rlike(r"([A-Za-z])\1\1"))
-        return F.when(single, F.length(letters) == 1).otherwise(good) & word.rlike(r"^[A-Za-z.'-]+$")
+        return F.when(single, F.length(letters) == 1).otherwise(good)
+
+    def words_ok(words: Column) -> Column:
+        return (F.size(words).between(1, 6) & ~F.forall(words, lambda w: w.rlike("(?i)" + _NOISE_WORD))
+                & F.exists(words, lambda w: F.length(w) >= 3) & F.forall(words, word_ok))
 
-    return is_true(
-        F.length(clean).between(3, 70) & ~matches(clean, _LABEL_ONLY) & ~matches(clean, LABEL_WORDS)
-        & ~clean.rlike(r"\d") & ~matches(clean, _MONTH_ONLY) & F.size(words).between(1, 6)
-        & ~F.forall(words, lambda w: w.rlike("(?i)" + _NOISE_WORD))
-        & F.exists(words, lambda w: F.length(w) >= 3) & F.forall(words, word_ok))
+    return let(clean, lambda c: is_true(
+        F.length(c).between(3, 70) & ~c.rlike(r"\d") & ~matches(c, _LABEL_ONLY) & ~matches(c, LABEL_WORDS)
+        & ~matches(c, _MONTH_ONLY) & let(F.filter(F.split(c, r"\s+"), lambda w: w != ""), words_ok)))
 
 
 def surplus_token(clean: Column) -> Column:
     """The token that does not belong to a name, NULL when none stands out."""
-    words = F.filter(F.split(F.trim(clean), r"\s+"), lambda w: w != "")
-    last = _letters(F.get(words, F.size(words) - 1))
 
-    def after_initial(word: Column, i: Column) -> Column:
-        earlier = F.exists(F.slice(words, 1, i), lambda w: F.length(_letters(w)) >= 2)
-        following = F.get(words, i + 1)
-        return F.when((i > 0) & (F.length(_letters(word)) == 1) & earlier
-                      & (F.length(_letters(following)) > 1), F.regexp_replace(following, "[^A-Za-z0-9]", ""))
+    def find(words: Column) -> Column:
+        def after_initial(word: Column, i: Column) -> Column:
+            earlier = F.exists(F.slice(words, 1, i), lambda w: F.length(_letters(w)) >= 2)
+            following = F.get(words, i + 1)
+            return F.when((i > 0) & (F.length(_letters(word)) == 1) & earlier
+                          & (F.length(_letters(following)) > 1), F.regexp_replace(following, "[^A-Za-z0-9]", ""))
 
-    inner = F.get(F.filter(F.transform(words, after_initial), lambda w: w.isNotNull()), 0)
-    return F.when(F.size(words) > 1, F.coalesce(
-        inner,
-        F.when(last.rlike("(?i)" + _TRAILING_NOISE), F.upper(last)),
-        F.when((F.size(words) >= 3) & matches(last, ROLE_WORDS), last)))
+        last = _letters(F.get(words, F.size(words) - 1))
+        inner = F.get(F.filter(F.transform(words, after_initial), lambda w: w.isNotNull()), 0)
+        return F.when(F.size(words) > 1, F.coalesce(inner, let(last, lambda end: F.coalesce(
+            F.when(end.rlike("(?i)" + _TRAILING_NOISE), F.upper(end)),
+            F.when((F.size(words) >= 3) & matches(end, ROLE_WORDS), end)))))
+
+    return let(F.filter(F.split(F.trim(clean), r"\s+"), lambda w: w != ""), find)
 
 
 def candidate_score(raw: Column, clean: Column, near_label: bool = True,
                     ocr_confidence: Column | None = None) -> Column:
     """Additive score of a plausible name, -1 otherwise."""
-    caps = first_case([(clean.rlike(r"^[A-Z\s.]+$"), 35),
-                       (clean.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$"), 10)], -30)
-    shape = first_case([
-        (clean.rlike(r"(?i)^[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+[A-Z]\.?$"), 20),
-        (clean.rlike(r"(?i)^[A-Z]\.?\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*$"), 20),
-        (clean.rlike(r"(?i)^[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,3}$"), 15),
-        (clean.rlike(r"(?i)^[A-Z][A-Za-z]{2,}$"), 10)], 0)
     engine = F.lit(0)
     if ocr_confidence is not None:
         engine = F.coalesce(first_case([(ocr_confidence >= 85, 15), (ocr_confidence < 60, -25)], 0), F.lit(0))
-    total = (F.lit(50 + (15 if near_label else 0)) + caps + shape
-             + F.when(raw.rlike(r"[-–—_~`|/\\]"), -20).otherwise(0) + engine
-             + F.when(matches(clean, _GARBLED), -60).otherwise(0))
-    total = F.when(surplus_token(clean).isNotNull(), F.least(total, F.lit(65))).otherwise(total)
-    return F.when(is_plausible_name(clean), total).otherwise(F.lit(-1))
+    outside = engine + F.when(raw.rlike(r"[-–—_~`|/\\]"), -20).otherwise(0)
+
+    def score(c: Column) -> Column:
+        caps = first_case([(c.rlike(r"^[A-Z\s.]+$"), 35), (c.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$"), 10)], -30)
+        shape = first_case([
+            (c.rlike(r"(?i)^[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+[A-Z]\.?$"), 20),
+            (c.rlike(r"(?i)^[A-Z]\.?\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*$"), 20),
+            (c.rlike(r"(?i)^[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,3}$"), 15),
+            (c.rlike(r"(?i)^[A-Z][A-Za-z]{2,}$"), 10)], 0)
+        total = (F.lit(50 + (15 if near_label else 0)) + caps + shape + outside
+                 + F.when(matches(c, _GARBLED), -60).otherwise(0))
+        capped = F.when(surplus_token(c).isNotNull(), F.least(total, F.lit(65))).otherwise(total)
+        return F.when(is_plausible_name(c), capped).otherwise(F.lit(-1))
+
+    return let(clean, score)
 
 
 def resolve_candidate(raw: Column, ocr_confidence: Column) -> Column:
     """struct(value, suggested, confidence, status) for one extracted name."""
-    clean = candidate_text(raw)
-    repaired = F.translate(clean, "".join(lexicon.DIGIT_LETTERS_WIDE), "".join(lexicon.DIGIT_LETTERS_WIDE.values()))
     conf = ocr_confidence.cast("double")
     weak = is_true((conf < 70) & ((conf > 1) | (conf < 0.70)))
-    good = is_plausible_name(clean)
-    digits_ok = clean.rlike(r"\d") & is_plausible_name(repaired)
-    odd = surplus_token(clean).isNotNull()
     whole = F.floor(conf + 0.5).cast("int")
-    status = first_case([
-        (~present(clean), "NOT_DETECTED"), (odd, "NEEDS_REVIEW"), (good & weak, "NEEDS_REVIEW"),
-        (good, "HIGH_CONFIDENCE"), (digits_ok, "NEEDS_REVIEW")], "NOT_DETECTED")
-    confidence = first_case([
-        (~present(clean), F.lit(0)), (odd, F.lit(65)), (good & weak, whole),
-        (good, F.coalesce(F.least(F.lit(98), F.greatest(F.lit(75), whole)), F.lit(90))),
-        (digits_ok, F.lit(68))], F.lit(35))
-    suggested = first_case([(odd | good, title_name(clean)), (digits_ok, title_name(repaired))],
-                           F.lit(None).cast("string"))
-    return F.struct(clean.alias("value"), suggested.alias("suggested"),
-                    confidence.alias("confidence"), status.alias("status"))
+
+    def facts(clean: Column) -> Column:
+        repaired = F.translate(clean, "".join(lexicon.DIGIT_LETTERS_WIDE), "".join(lexicon.DIGIT_LETTERS_WIDE.values()))
+        return F.struct(clean.alias("clean"), repaired.alias("repaired"), is_plausible_name(clean).alias("good"),
+                        (clean.rlike(r"\d") & is_plausible_name(repaired)).alias("digits"),
+                        surplus_token(clean).isNotNull().alias("odd"))
+
+    def verdict(f: Column) -> Column:
+        clean, good, odd, digits = f["clean"], f["good"], f["odd"], f["digits"]
+        status = first_case([
+            (~present(clean), "NOT_DETECTED"), (odd, "NEEDS_REVIEW"), (good & weak, "NEEDS_REVIEW"),
+            (good, "HIGH_CONFIDENCE"), (digits, "NEEDS_REVIEW")], "NOT_DETECTED")
+        confidence = first_case([
+            (~present(clean), F.lit(0)), (odd, F.lit(65)), (good & weak, whole),
+            (good & whole.isNull(), F.lit(90)), (good, F.least(F.lit(98), F.greatest(F.lit(75), whole))),
+            (digits, F.lit(68))], F.lit(35))
+        suggested = first_case([(odd | good, title_name(clean)), (digits, title_name(f["repaired"]))],
+                               F.lit(None).cast("string"))
+        return F.struct(clean.alias("value"), suggested.alias("suggested"),
+                        confidence.alias("confidence"), status.alias("status"))
+
+    return let(let(candidate_text(raw), facts), verdict)
 
 
 # --- reading suggestions ------------------------------------------------------------------------
@@ -381,14 +393,20 @@ def institution_key(name: Column) -> Column:
 
 def institution_match(a: Column, b: Column) -> Column:
     """struct(score, status) from the share of common words."""
-    ka, kb = institution_key(a), institution_key(b)
-    wa, wb = (F.filter(F.split(k, " "), lambda w: F.length(w) > 2) for k in (ka, kb))
+    keys = F.struct(institution_key(a).alias("a"), institution_key(b).alias("b"),
+                    (~(present(a) & present(b))).alias("missing"))
+    return let(keys, _institution_verdict)
+
+
+def _institution_verdict(k: Column) -> Column:
+    ka, kb, missing = k["a"], k["b"], k["missing"]
+    wa, wb = (F.filter(F.split(v, " "), lambda w: F.length(w) > 2) for v in (ka, kb))
     common = F.size(F.filter(wa, lambda w: F.array_contains(wb, w))).cast("double")
     overlap = common / F.greatest(F.size(wa), F.size(wb), F.lit(1))
     usable = (F.size(wa) > 0) & (F.size(wb) > 0)
-    status = first_case([(~(present(a) & present(b)), "MISSING"), (ka == kb, "MATCH"), (~usable, "DIFFERENT"),
+    status = first_case([(missing, "MISSING"), (ka == kb, "MATCH"), (~usable, "DIFFERENT"),
                          (overlap >= 0.70, "MATCH"), (overlap >= 0.45, "LIKELY")], "DIFFERENT")
-    score = first_case([(~(present(a) & present(b)), 0.0), (ka == kb, 1.0), (~usable, 0.0)],
+    score = first_case([(missing, 0.0), (ka == kb, 1.0), (~usable, 0.0)],
                        F.floor(overlap * 100.0 + 0.5) / 100.0)
     return F.struct(score.alias("score"), status.alias("status"))
 

@@ -9,6 +9,15 @@ from pyspark.sql import Column, functions as F
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A plain Python expression tree would repeat ``value`` wherever ``body`` uses
+    it; binding it as a lambda variable keeps long text clean-ups single.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def regex(pattern: str, flags: str = "") -> str:
     """A Java pattern whose ``\\b`` is the ASCII word boundary.
 
@@ -23,6 +32,31 @@ def matches(col: Column, pattern: str, flags: str = "i") -> Column:
     return F.coalesce(col.rlike(regex(pattern, flags)), F.lit(False))
 
 
+def contains_pattern(lowered: Column, pattern: str) -> Column:
+    """Match against text that is already lower case.
+
+    Top-level alternatives are searched one by one without the
+    case-insensitive flag, so those that start with a literal use the engine's
+    skip search instead of trying every alternative at every position.
+    """
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        depth += ch in "(["
+        depth -= ch in ")]"
+        if ch == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    parts.append(pattern[start:])
+    flags = "(?s)" if parts[0].startswith("(?s)") else ""
+    parts = [p if p.startswith("(?") and p.startswith(flags) else flags + p for p in parts]
+    return any_of([F.coalesce(lowered.rlike(regex(p)), F.lit(False)) for p in parts])
+
+
 def extract(col: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     """Group of the first match, NULL when the pattern does not occur."""
     return F.nullif(F.regexp_extract(col, regex(pattern, flags), group), F.lit(""))

@@ -12,8 +12,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stipendia.functions import doc_rules
-from stipendia.functions.scalars import first_case, is_true, kept, matches, regex, replace_all
-from stipendia.operators.frames import with_key_count
+from stipendia.functions.scalars import contains_pattern, first_case, is_true, kept, matches, regex, replace_all
+from stipendia.operators.frames import balanced, with_key_count
 
 HEADER = 1500
 
@@ -24,26 +24,28 @@ def squeezed(text: Column) -> Column:
 
 def state_of(text: Column) -> Column:
     """struct(state, state_confidence): the first state with any of its words."""
+    low = F.lower(text)
+
     def hits(patterns: list[str]) -> Column:
-        return reduce(add, [matches(text, p).cast("int") for p in patterns])
+        return reduce(add, [contains_pattern(low, p).cast("int") for p in patterns])
 
     def found(name: str, n: Column) -> Column:
         return F.struct(F.lit(name).alias("state"), F.least(F.lit(98), F.lit(70) + n * 14).alias("state_confidence"))
 
-    # one alternation decides whether a state is counted at all, so most texts cost one scan per state
-    return first_case([(matches(text, "|".join(f"(?:{p})" for p in ps)), found(name, hits(ps)))
+    return first_case([(contains_pattern(low, "|".join(ps)), found(name, hits(ps)))
                        for name, ps in doc_rules.STATES],
                       F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("state_confidence")))
 
 
 def authority_of(text: Column) -> Column:
-    return first_case([(matches(text, p), n) for n, p in doc_rules.AUTHORITIES], F.lit(None).cast("string"))
+    low = F.lower(text)
+    return first_case([(contains_pattern(low, p), n) for n, p in doc_rules.AUTHORITIES], F.lit(None).cast("string"))
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add type, confidence, reasons, per-type scores, state and authority."""
-    rows = docs.withColumn("_clean", squeezed(F.col(text)))
-    signals = {t: F.array(*[F.when(matches(F.col("_clean"), p), F.struct(F.lit(w).alias("w"), F.lit(r).alias("r")))
+    rows = balanced(docs).withColumn("_clean", F.lower(squeezed(F.col(text))))
+    signals = {t: F.array(*[F.when(contains_pattern(F.col("_clean"), p), F.struct(F.lit(w).alias("w"), F.lit(r).alias("r")))
                             for p, w, r in rules]) for t, rules in doc_rules.TYPE_RULES.items()}
     for kind, signal in signals.items():
         rows = rows.withColumn(f"_s_{kind}", F.filter(signal, lambda x: x.isNotNull()))

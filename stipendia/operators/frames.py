@@ -12,6 +12,16 @@ RULE_ROWS = 2_000
 FRAGMENTS = 32
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer partitions than cores.
+
+    For per-row work that costs far more than moving the row.  Large inputs
+    have more partitions than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None,
               latest: bool = True) -> DataFrame:
     """One row per key, the greatest (or smallest) by ``order``.

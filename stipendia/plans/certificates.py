@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from stipendia.plans.mapping import Tables
 
 # A syllable per digit, so that keys become pronounceable names.
-SYLLABLES = ["ka", "ri", "mu", "ve", "sa", "no", "ti", "la", "de", "pu"]
+SYLLABLES = ["ka", "ri", "mu", "ve", "sa", "ro", "ti", "la", "de", "pu"]
 
 
 def _spell(expr: str) -> str:
@@ -50,7 +50,7 @@ CASES = [
     "CASE WHEN seg IN ('BUILDING', 'MACHINERY') THEN concat('15-0', d8, '-200', CASE WHEN bal < 4000 THEN '1' ELSE '2' END) END"
     " AS valid_upto",
     "concat('REG', k) AS register_number", "CAST(floor(marks10 / 5.0) AS INT) AS per_subject",
-    "CAST(floor(marks10 / 5.0) AS INT) + CASE WHEN bal > 9500 THEN 5 ELSE 0 END AS percent10",
+    "CAST(floor(marks10 / 5.0) AS INT) + CASE WHEN bal > 9500 THEN -5 ELSE 0 END AS percent10",
     "marks10 + 60 AS marks12",
 ]
 

@@ -306,7 +306,8 @@ SELECT student_id AS doc_id, field, line_no, ocr_confidence, y0 FROM (SELECT stu
 def _(t):
     values_ = cases(t).select(F.col("student_id").alias("doc_id"), F.inline(F.array(
         F.struct(F.lit("name").alias("field"), F.col("full_name").alias("value")),
-        F.struct(F.lit("register"), F.col("register_number")), F.struct(F.lit("absent"), F.lit("ZZQX WWVV")))))
+        F.struct(F.lit("register").alias("field"), F.col("register_number").alias("value")),
+        F.struct(F.lit("absent").alias("field"), F.lit("ZZQX WWVV").alias("value")))))
     found = evidence.locate(values_, evidence.line_table(_pages(t, "ms10")))
     return found.select("doc_id", "field", "line_no", "ocr_confidence",
                         F.floor(F.col("norm_box.y0") * 1000000).alias("y0"))
