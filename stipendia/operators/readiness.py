@@ -128,6 +128,10 @@ def findings(as_of: Column) -> list[Column]:
     ]
 
 
+def _where(found: str, key: str, value: str) -> Column:
+    return F.filter(found, lambda x: x[key] == value)
+
+
 def readiness(rows: DataFrame, as_of: Column) -> DataFrame:
     """Findings by severity, score per dimension, total and level.
 
@@ -139,11 +143,11 @@ def readiness(rows: DataFrame, as_of: Column) -> DataFrame:
     rows = rows.withColumn("missing_documents", missing_documents(F.col("s.required_documents"), uploads))
     raised = F.filter(F.array(*findings(as_of)), lambda x: x.isNotNull())
     rows = rows.withColumn("_found", raised)
-    by_severity = F.flatten(F.array(*[F.filter("_found", lambda x, s=s: x["severity"] == s) for s in lexicon.SEVERITIES]))
+    by_severity = F.flatten(F.array(*[_where("_found", "severity", s) for s in lexicon.SEVERITIES]))
     rows = rows.withColumn("findings", by_severity)
     dims = {}
     for dim, top in lexicon.READINESS_MAX.items():
-        lost = F.aggregate(F.filter("findings", lambda x, k=dim: x["dim"] == k), F.lit(0), lambda a, x: a + x["points"])
+        lost = F.aggregate(_where("findings", "dim", dim), F.lit(0), lambda a, x: a + x["points"])
         dims[f"{dim}_score"] = F.greatest(F.lit(0), F.lit(top) - lost)
     rows = rows.withColumns(dims)
     rows = rows.withColumn("total", sum((F.col(c) for c in list(dims)[1:]), F.col(list(dims)[0]))).withColumn(

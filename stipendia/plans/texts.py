@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from stipendia.functions import doc_rules, names, text, values
 from stipendia.functions.scalars import as_instant
 from stipendia.operators import documents, evidence, fields
-from stipendia.plans.certificates import CASE_VIEWS, all_texts, cases, certificates
-from stipendia.plans.mapping import AS_OF, VIEWS
+from stipendia.plans.certificates import all_texts, cases, certificates
+from stipendia.plans.mapping import AS_OF
 from stipendia.plans.registry import query
 
-VIEWS.update(CASE_VIEWS)
-
-
 def q(pattern: str) -> str:
     """A pattern as SQL literal of the checking engine, case-insensitive, dot not matching newlines."""
     return "'(?i)" + pattern.replace("'", "''") + "'"
