@@ -15,21 +15,26 @@ from stipendia.sources import sinks
 HOUR_MS = 3_600_000
 
 
-def deduplicated(events: DataFrame, id_column: str, at: str, delay: str = "1 day") -> DataFrame:
+def marked(events: DataFrame, at: str, delay: str | None) -> DataFrame:
+    """Set the watermark; ``None`` keeps the one an earlier step of the stream has set."""
+    return events if delay is None else events.withWatermark(at, delay)
+
+
+def deduplicated(events: DataFrame, id_column: str, at: str, delay: str | None = "1 day") -> DataFrame:
     """Each id once, as long as its copies arrive within the watermark delay."""
-    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([id_column])
+    return marked(events, at, delay).dropDuplicatesWithinWatermark([id_column])
 
 
-def weekly_counts(events: DataFrame, at: str, completed, delay: str = "1 day") -> DataFrame:
+def weekly_counts(events: DataFrame, at: str, completed, delay: str | None = "1 day") -> DataFrame:
     """Submissions and completed reviews per 7-day window, emitted when the window closes."""
-    return (events.withWatermark(at, delay).groupBy(F.window(at, "7 days").alias("w"))
+    return (marked(events, at, delay).groupBy(F.window(at, "7 days").alias("w"))
             .agg(F.count(F.lit(1)).alias("events"), count_if(is_true(completed), "completed"))
             .select(F.col("w.start").alias("week_start"), "events", "completed"))
 
 
-def quota_exceeded(requests: DataFrame, key: str, at: str, limit: int, minutes: int = 15, delay: str = "15 minutes") -> DataFrame:
+def quota_exceeded(requests: DataFrame, key: str, at: str, limit: int, minutes: int = 15, delay: str | None = "15 minutes") -> DataFrame:
     """Keys with more than ``limit`` requests in a fixed window."""
-    counts = requests.withWatermark(at, delay).groupBy(F.col(key).alias("key"), F.window(at, f"{minutes} minutes").alias("w")).agg(
+    counts = marked(requests, at, delay).groupBy(F.col(key).alias("key"), F.window(at, f"{minutes} minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("requests"))
     return counts.where(F.col("requests") > limit).select("key", F.col("w.start").alias("window_start"), "requests")
 
@@ -39,7 +44,7 @@ def first_per_day(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.withWatermark(at, "24 hours").dropDuplicatesWithinWatermark([key])
 
 
-def alerts(events: DataFrame, key: str, at: str, hours: int = 24, delay: str = "24 hours") -> DataFrame:
+def alerts(events: DataFrame, key: str, at: str, hours: int = 24, delay: str | None = "24 hours") -> DataFrame:
     """At most one alert per key within ``hours`` of its last alert.
 
     The state of a key is the time of its last alert.  It is dropped once the
@@ -65,7 +70,7 @@ def alerts(events: DataFrame, key: str, at: str, hours: int = 24, delay: str = "
         if sent:
             yield pd.DataFrame({"key": [keys[0]] * len(sent), "alert_ms": sent})
 
-    rows = events.withWatermark(at, delay).select(F.col(key).cast("string").alias("key"), F.col(at),
+    rows = marked(events, at, delay).select(F.col(key).cast("string").alias("key"), F.col(at),
                                                   F.unix_millis(F.col(at)).alias("at_ms"))
     out = rows.groupBy("key").applyInPandasWithState(step, "key string, alert_ms long", "last long", "append",
                                                      GroupStateTimeout.EventTimeTimeout)

@@ -58,7 +58,7 @@ def test_repeated_ids_are_dropped(spark, tmp_path):
 def test_weekly_windows_close(spark, tmp_path):
     write_batches(spark, str(tmp_path / "in"), [sum(sample(), [])])
     unique = logs.deduplicated(read(spark, str(tmp_path / "in")), "id", "at", "1 hour")
-    rows = run(spark, logs.weekly_counts(unique, "at", F.col("key") == "k1", "1 hour"), tmp_path)
+    rows = run(spark, logs.weekly_counts(unique, "at", F.col("key") == "k1", None), tmp_path)
     assert rows and all((r.week_start - dt.datetime(1970, 1, 1)).days % 7 == 0 for r in rows)
 
 
