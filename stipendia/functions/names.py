@@ -73,7 +73,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    return similarity(simple_name(a), simple_name(b))
+    pair = F.struct(simple_name(a).alias("a"), simple_name(b).alias("b"))
+    return let(pair, lambda p: similarity(p["a"], p["b"]))
 
 
 # --- comparison ladder --------------------------------------------------------------------------
@@ -130,33 +131,28 @@ def with_name_match(df: DataFrame, a: str, b: str, strict: Column | bool = False
     """
     strict = F.lit(strict) if isinstance(strict, bool) else strict
     before = df.columns
-    staged = (df
-              .withColumn("_ta", name_tokens(F.col(a)))
-              .withColumn("_tb", name_tokens(F.col(b)))
-              .withColumn("_strict", strict)
-              .withColumn("_known", (F.size("_ta") > 0) & (F.size("_tb") > 0))
-              .withColumn("_sa", _join(F.col("_ta")))
-              .withColumn("_sb", _join(F.col("_tb")))
-              .withColumn("_equal", F.col("_sa") == F.col("_sb"))
-              .withColumn("_reordered", _join(F.array_sort("_ta")) == _join(F.array_sort("_tb"))))
+    staged = df.select("*", name_tokens(F.col(a)).alias("_ta"), name_tokens(F.col(b)).alias("_tb"), strict.alias("_strict"))
+    a_shorter = F.size("_ta") <= F.size("_tb")
+    staged = staged.select(
+        "*", ((F.size("_ta") > 0) & (F.size("_tb") > 0)).alias("_known"), _join(F.col("_ta")).alias("_sa"), _join(F.col("_tb")).alias("_sb"),
+        (_join(F.array_sort("_ta")) == _join(F.array_sort("_tb"))).alias("_reordered"),
+        F.when(a_shorter, F.col("_ta")).otherwise(F.col("_tb")).alias("_short"),
+        F.when(a_shorter, F.col("_tb")).otherwise(F.col("_ta")).alias("_long"))
 
     words = {s: F.filter(F.col(s), lambda t: F.length(t) > 1) for s in ("_ta", "_tb")}
     initials = {s: F.size(F.filter(F.col(s), lambda t: F.length(t) == 1)) for s in ("_ta", "_tb")}
     same_words = ((F.size(words["_ta"]) > 0) & (F.size(words["_tb"]) > 0)
                   & (_join(F.array_sort(words["_ta"])) == _join(F.array_sort(words["_tb"]))))
     one_sided = (initials["_ta"] > 0) != (initials["_tb"] > 0)
-    open_case = F.col("_known") & ~F.col("_equal") & ~F.col("_reordered")
-
-    a_shorter = F.size("_ta") <= F.size("_tb")
-    staged = (staged
-              .withColumn("_initial_only", F.when(open_case, same_words & one_sided).otherwise(False))
-              .withColumn("_exp", F.when(open_case & (F.size("_ta") == F.size("_tb")),
-                                         _take_first(F.col("_ta"), F.col("_tb"), _initial_of)))
-              .withColumn("_short", F.when(a_shorter, F.col("_ta")).otherwise(F.col("_tb")))
-              .withColumn("_long", F.when(a_shorter, F.col("_tb")).otherwise(F.col("_ta")))
-              .withColumn("_fit", F.when(open_case, _take_first(F.col("_short"), F.col("_long"), _near)))
-              .withColumn("_sim", F.when(F.col("_known"), 1.0 - F.levenshtein("_sa", "_sb").cast("double")
-                                         / F.greatest(F.length("_sa"), F.length("_sb"), F.lit(1)))))
+    # token walks only run for pairs the cheap levels leave open
+    open_case = F.col("_known") & ~F.col("_reordered")
+    staged = staged.select(
+        "*", (F.col("_sa") == F.col("_sb")).alias("_equal"),
+        F.when(open_case, same_words & one_sided).otherwise(False).alias("_initial_only"),
+        F.when(open_case & (F.size("_ta") == F.size("_tb")), _take_first(F.col("_ta"), F.col("_tb"), _initial_of)).alias("_exp"),
+        F.when(open_case, _take_first(F.col("_short"), F.col("_long"), _near)).alias("_fit"),
+        F.when(F.col("_known"), 1.0 - F.levenshtein("_sa", "_sb").cast("double")
+               / F.greatest(F.length("_sa"), F.length("_sb"), F.lit(1))).alias("_sim"))
 
     expansion = is_true((F.col("_exp.hits") == F.size("_ta")) & (F.col("_exp.loose") > 0)
                         & (F.size(F.col("_exp.left")) == 0))
@@ -243,7 +239,7 @@ def candidate_text(value: Column) -> Column:
         (r"[^A-Za-z0-9.'-]+$", ""),
         (_NAME_LABEL, "i"),
         (r"^\s*(?:mr|mrs|ms|miss|kumari|selvan|selvi|thiru|tmt|sri|smt|thirumathi|thirumati|km)\.?\s+", "i"),
-        (r"(?<=\S\s\S{1,60})(?:\s+(?:TO|T0|NO|SL|SLNO))+$", "i"),
+        (r"(?<=\S\s\S{1,30})(?:\s+(?:TO|T0|NO|SL|SLNO))+$", "i"),
     ]:
         v = F.regexp_replace(v, regex(pattern, flags), "")
     return F.trim(F.regexp_replace(v, r"\s+", " "))

@@ -18,9 +18,9 @@ def tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    """Words of two or more characters that are no stop words."""
+    """Distinct words of two or more characters that are no stop words, in order of first use."""
     stop = F.array(*[F.lit(w) for w in lexicon.STOP_WORDS])
-    return F.filter(word_list(text), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.array_except(F.filter(word_list(text), lambda w: F.length(w) >= 2), stop)
 
 
 def query_key(text: Column) -> Column:

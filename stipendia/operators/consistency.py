@@ -8,40 +8,40 @@ from stipendia.functions.names import letters_key, name_similarity, name_tokens,
 from stipendia.functions.scalars import (first_case, half_up, is_true, kept, percent, present)
 from stipendia.functions.values import (certificate_age, compare_birth_dates, compare_communities, compare_incomes,
                                         confidence_band, income_freshness, is_ifsc, iso_date, months_since, parse_date)
-from stipendia.operators.frames import spread_join
+from stipendia.operators.frames import balanced, spread_join
 
 MINOR = ["MINOR_DIFFERENCE", "LIKELY_MATCH", "NEEDS_REVIEW"]
 
 
 # --- pairs of a case -----------------------------------------------------------------------------
 
-def pair_verdicts(values: DataFrame, case: str, value: str) -> DataFrame:
-    """Whether any two values of a case contradict or differ slightly.
+def pair_verdicts(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Whether any two values under one key contradict or differ slightly.
 
     Equal values are merged first.  Every value is then compared with one
-    anchor of its case, which is linear; a case with a contradiction is settled
-    by that.  Only the remaining cases, whose values all resemble the anchor,
+    anchor of its key, which is linear; a key with a contradiction is settled
+    by that.  Only the remaining keys, whose values all resemble the anchor,
     need their values compared with each other, spread over many tasks.
     """
     keyed = (values.where(present(F.col(value))).withColumn("_key", F.array_join(name_tokens(F.col(value)), " "))
              .where(F.col("_key") != ""))
-    groups = keyed.groupBy(case, "_key").agg(F.min(value).alias("_name"))
-    anchors = groups.groupBy(case).agg(F.min_by("_name", "_key").alias("_anchor"), F.min("_key").alias("_first"),
-                                       F.count(F.lit(1)).alias("_n"))
-
-    def flags(compared: DataFrame) -> DataFrame:
-        return compared.groupBy(case).agg(F.max(F.col("pair_status") == "MISMATCH").alias("mismatch"),
-                                          F.max(F.col("pair_status").isin(MINOR)).alias("minor"))
-
-    many = anchors.where(F.col("_n") > 1)
-    others = groups.join(many, case).where(F.col("_key") != F.col("_first"))
-    first = flags(with_name_match(others, "_anchor", "_name", False, "pair"))
-    open_cases = first.where(~F.col("mismatch")).join(many.where(F.col("_n") > 2), case).select(case)
-    rest = others.join(open_cases, case, "left_semi").select(case, "_key", "_name")
-    right = rest.select(case, F.col("_key").alias("_key2"), F.col("_name").alias("_name2"))
-    pairs = spread_join(rest, right, [case], ["_key"]).where(F.col("_key") < F.col("_key2"))
+    groups = keyed.groupBy(*keys, "_key").agg(F.min(value).alias("_name"))
+    anchors = groups.groupBy(*keys).agg(F.min_by("_name", "_key").alias("_anchor"), F.min("_key").alias("_first"),
+                                        F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+
+    def flags(compared: DataFrame, *more) -> DataFrame:
+        return compared.groupBy(*keys).agg(F.max(F.col("pair_status") == "MISMATCH").alias("mismatch"),
+                                           F.max(F.col("pair_status").isin(MINOR)).alias("minor"), *more)
+
+    others = groups.join(anchors, keys).where(F.col("_key") != F.col("_first"))
+    first = flags(with_name_match(others, "_anchor", "_name", False, "pair"), F.max("_n").alias("_n"))
+    open_keys = first.where(~F.col("mismatch") & (F.col("_n") > 2)).select(*keys)
+    rest = others.join(open_keys, keys, "left_semi").select(*keys, "_key", "_name")
+    right = rest.select(*keys, F.col("_key").alias("_key2"), F.col("_name").alias("_name2"))
+    pairs = spread_join(rest, right, keys, ["_key"]).where(F.col("_key") < F.col("_key2"))
     second = flags(with_name_match(pairs, "_name", "_name2", False, "pair"))
-    return first.unionByName(second).groupBy(case).agg(F.max("mismatch").alias("mismatch"), F.max("minor").alias("minor"))
+    return first.drop("_n").unionByName(second).groupBy(*keys).agg(
+        F.max("mismatch").alias("mismatch"), F.max("minor").alias("minor"))
 
 
 def _usable(col: Column) -> Column:
@@ -61,11 +61,13 @@ def evaluate_cases(documents: DataFrame, case: str = "case_id") -> DataFrame:
         F.count_if(name | present(F.col("dob"))).alias("documents"), F.count_if(name).alias("named"),
         F.count_if(_usable(F.col("dob"))).alias("dated"), F.count_if(parent).alias("parented"),
         F.min(day).alias("_d1"), F.max(day).alias("_d2"))
-    names = pair_verdicts(documents.where(name), case, "name")
-    parents = pair_verdicts(documents.where(parent), case, "parent_name").select(
-        case, F.col("mismatch").alias("p_mismatch"), F.col("minor").alias("p_minor"))
-    rows = counts.join(names, case, "left").join(parents, case, "left").fillna(
-        False, ["mismatch", "minor", "p_mismatch", "p_minor"])
+    kinds = F.array(F.struct(F.lit("own").alias("_kind"), F.when(name, F.col("name")).alias("_value")),
+                    F.struct(F.lit("parent").alias("_kind"), F.when(parent, F.col("parent_name")).alias("_value")))
+    verdicts = pair_verdicts(documents.select(case, F.inline(kinds)), [case, "_kind"], "_value")
+    own = (lambda kind, c: F.max(F.when(F.col("_kind") == kind, F.col(c))))
+    flags = verdicts.groupBy(case).agg(own("own", "mismatch").alias("mismatch"), own("own", "minor").alias("minor"),
+                                       own("parent", "mismatch").alias("p_mismatch"), own("parent", "minor").alias("p_minor"))
+    rows = counts.join(flags, case, "left").fillna(False, ["mismatch", "minor", "p_mismatch", "p_minor"])
     rows = rows.withColumn("dob_conflict", is_true(F.col("_d1") != F.col("_d2")))
     short = (F.col("documents") < 2) | (F.col("named") < 2)
     conflict = F.col("mismatch") | F.col("p_mismatch") | F.col("dob_conflict")
@@ -173,7 +175,7 @@ def name_pairs(cases: DataFrame) -> DataFrame:
     src = F.col("name_sources")
     pairs = F.flatten(F.transform(src, lambda a, i: F.transform(
         F.slice(src, i + 2, F.size(src)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    flat = cases.select("case_id", F.explode(pairs).alias("p")).select(
+    flat = cases.select("case_id", F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull()).select(
         "case_id", F.col("p.a.source").alias("source_a"), F.col("p.b.source").alias("source_b"),
         F.col("p.a.name").alias("name_a"), F.col("p.b.name").alias("name_b"),
         (F.col("p.a.strict") | F.col("p.b.strict")).alias("strict"))
@@ -199,7 +201,7 @@ def consistency_score(cases: DataFrame, as_of: Column) -> DataFrame:
             document.alias("document"))
 
     yes = F.lit(True)
-    rows = cases.withColumn("name_sources", kept([
+    rows = balanced(cases).withColumn("name_sources", kept([
         source("aadhaar", "aadhaar_name", yes, True, c("has_aadhaar")),
         source("community", "community_name", c("has_community"), True, yes),
         source("income", "income_name", own_income, True, yes),

@@ -12,7 +12,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stipendia.functions import doc_rules
-from stipendia.functions.scalars import contains_pattern, first_case, is_true, kept, matches, regex, replace_all
+from stipendia.functions.scalars import contains_pattern, first_case, is_true, kept, let, matches, regex, replace_all
 from stipendia.operators.frames import balanced, with_key_count
 
 HEADER = 1500
@@ -24,8 +24,10 @@ def squeezed(text: Column) -> Column:
 
 def state_of(text: Column) -> Column:
     """struct(state, state_confidence): the first state with any of its words."""
-    low = F.lower(text)
+    return let(F.lower(text), _state_in)
 
+
+def _state_in(low: Column) -> Column:
     def hits(patterns: list[str]) -> Column:
         return reduce(add, [contains_pattern(low, p).cast("int") for p in patterns])
 
@@ -38,8 +40,8 @@ def state_of(text: Column) -> Column:
 
 
 def authority_of(text: Column) -> Column:
-    low = F.lower(text)
-    return first_case([(contains_pattern(low, p), n) for n, p in doc_rules.AUTHORITIES], F.lit(None).cast("string"))
+    return let(F.lower(text), lambda low: first_case(
+        [(contains_pattern(low, p), n) for n, p in doc_rules.AUTHORITIES], F.lit(None).cast("string")))
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,7 +94,7 @@ def suggestion(doc_type: Column, confidence: Column) -> Column:
 
 def titles(docs: DataFrame, text: str = "text") -> DataFrame:
     """Document title from the header, a second reading with repaired digits, then weak anchors."""
-    rows = docs.withColumn("_head", F.substring(F.trim(F.coalesce(F.col(text), F.lit(""))), 1, HEADER))
+    rows = balanced(docs).withColumn("_head", F.substring(F.trim(F.coalesce(F.col(text), F.lit(""))), 1, HEADER))
     rows = rows.withColumn("_fixed", F.trim(replace_all(F.col("_head"), *doc_rules.TITLE_REPAIRS)))
 
     def title(kind: str, name: str, confidence: int, evidence: Column, sure: bool = True) -> Column:
@@ -126,12 +128,14 @@ def template_of(text: Column) -> Column:
         return F.struct(F.lit(template).alias("template"), board.alias("board"), state.alias("state"),
                         F.lit(confidence).alias("template_confidence"))
 
-    state = state_of(text)["state"]
     none = F.lit(None).cast("string")
     cases = [(matches(text, p), row(t, F.lit(b), F.lit(s).cast("string"), c)) for t, b, s, c, p in doc_rules.TEMPLATES]
-    cases.append((state.isNotNull() & matches(text, r"board\s+of|examination"),
-                  row("state_board", F.concat(state, F.lit(" State Board of School Examinations")), state, 0.85)))
-    return first_case(cases, row("generic", none, none, 0.50))
+    # the states are only searched in texts that speak of a board or examination
+    other = let(state_of(text)["state"], lambda state: F.when(state.isNotNull(), row(
+        "state_board", F.concat(state, F.lit(" State Board of School Examinations")), state, 0.85)))
+    generic = row("generic", none, none, 0.50)
+    cases.append((matches(text, r"board\s+of|examination"), F.coalesce(other, generic)))
+    return first_case(cases, generic)
 
 
 # --- duplicates ----------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stipendia.functions import lexicon
 from stipendia.functions.scalars import first_case, is_true, kept, not_equal_or_missing, percent, present
 from stipendia.functions.values import accepts_community, restricted
-from stipendia.operators.frames import count_if, top_per_key, with_each_rule
+from stipendia.operators.frames import balanced, count_if, top_per_key, with_each_rule
 
 CONFIRMED, POTENTIAL = "CONFIRMED MATCH", "POTENTIAL MATCH"
 NEEDS_INFO, NOT_MATCHED = "NEEDS MORE INFORMATION", "NOT MATCHED"
@@ -106,7 +106,7 @@ def evaluate(pairs: DataFrame) -> DataFrame:
 
 def match_all(students: DataFrame, schemes: DataFrame) -> DataFrame:
     """Every student against every scheme of the (measured, small) catalogue."""
-    packed = students.select(F.struct("*").alias("student"))
+    packed = balanced(students).select(F.struct("*").alias("student"))
     return evaluate(with_each_rule(packed, schemes, "scheme"))
 
 

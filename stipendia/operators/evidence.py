@@ -13,7 +13,8 @@ PAGE = (2400.0, 3200.0)
 
 def line_table(pages: DataFrame) -> DataFrame:
     """Nested pages -> one row per line, numbered over the document."""
-    lines = pages.select("doc_id", "page", "page_width", "page_height", F.posexplode("lines").alias("pos", "line"))
+    lines = pages.select("doc_id", "page", "page_width", "page_height", F.posexplode_outer("lines").alias("pos", "line")).where(
+        F.col("line").isNotNull())
     return lines.select("doc_id", "page", (F.col("page").cast("long") * 1_000_000_000 + F.col("pos")).alias("line_no"), "page_width",
                         "page_height", "line.text", "line.confidence", "line.bbox", "line.words")
 

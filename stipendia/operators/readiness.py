@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stipendia.functions import lexicon
 from stipendia.functions.names import name_similarity
-from stipendia.functions.scalars import any_of, filled, first_case, is_true, percent, present
+from stipendia.functions.scalars import any_of, filled, first_case, is_true, present
 from stipendia.functions.values import certificate_age, is_ifsc, iso_date
+from stipendia.operators.frames import balanced
 from stipendia.operators.eligibility import NEEDS_INFO, NOT_MATCHED, POTENTIAL
 
 # Words that let an upload stand for a checklist label (label words, upload words).
@@ -140,7 +141,7 @@ def readiness(rows: DataFrame, as_of: Column) -> DataFrame:
     """
     keys = [c for c in rows.columns if c not in ("p", "d", "s", "match_type")]
     uploads = F.coalesce("d.uploaded_types", F.array().cast("array<string>"))
-    rows = rows.withColumn("missing_documents", missing_documents(F.col("s.required_documents"), uploads))
+    rows = balanced(rows).withColumn("missing_documents", missing_documents(F.col("s.required_documents"), uploads))
     raised = F.filter(F.array(*findings(as_of)), lambda x: x.isNotNull())
     rows = rows.withColumn("_found", raised)
     by_severity = F.flatten(F.array(*[_where("_found", "severity", s) for s in lexicon.SEVERITIES]))
@@ -163,6 +164,10 @@ def level(score: Column, unknown: Column) -> Column:
 
 
 def finding_counts(checked: DataFrame) -> DataFrame:
-    total = checked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return checked.select(F.inline("findings")).groupBy("id", "severity").agg(F.count(F.lit(1)).alias("cases")).withColumn(
-        "share", percent(F.col("cases"), total, 0))
+    """Cases per finding.
+
+    The outer generator keeps the optimizer from adding a not-empty filter,
+    which would evaluate every finding a second time.
+    """
+    raised = checked.select(F.inline_outer("findings")).where(F.col("id").isNotNull())
+    return raised.groupBy("id", "severity").agg(F.count(F.lit(1)).alias("cases"))

@@ -318,7 +318,8 @@ WITH {_MATCH}, k AS (SELECT *, unnest(['gender', 'income', 'category', 'state',
 SELECT scheme_id, criterion, CASE code WHEN 0 THEN 'PASSED' WHEN 1 THEN 'FAILED' ELSE 'NEEDS_INFO' END AS status,
  count(*) AS students FROM k WHERE code IS NOT NULL GROUP BY 1, 2, 3""")
 def _(t):
-    return _matches(t).select("scheme_id", F.inline("criteria")).groupBy("scheme_id", "criterion", "status").agg(
+    rows = _matches(t).select("scheme_id", F.inline_outer("criteria")).where(F.col("criterion").isNotNull())
+    return rows.groupBy("scheme_id", "criterion", "status").agg(
         F.count(F.lit(1)).alias("students"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stipendia.functions import lexicon, text as text_fn
 from stipendia.operators import catalogue, evaluate, fields, retrieval
+from stipendia.operators.frames import balanced
 from stipendia.plans.certificates import cases, certificates
 from stipendia.plans.mapping import VIEWS
 from stipendia.plans.registry import query
@@ -32,7 +33,7 @@ def turns(t):
 
 def all_questions(t):
     key = (lambda df, mark: df.select(F.concat(F.lit(mark), F.col("query_id").cast("string")).alias("query_id"), "text"))
-    return key(asked(t), "a").unionByName(key(turns(t), "t"))
+    return balanced(key(asked(t), "a").unionByName(key(turns(t), "t")))
 
 
 def sql_match(col: str, pattern: str) -> str:
@@ -92,7 +93,7 @@ SELECT query_id, CAST(len(list_filter({_WORDS.format(c='text')}, lambda w: lengt
 def _(t):
     return all_questions(t).select(
         "query_id", F.size(text_fn.tokens(F.col("text"))).alias("words"),
-        F.array_join(F.array_sort(F.array_distinct(text_fn.content_tokens(F.col("text")))), " ").alias("content"))
+        F.array_join(F.array_sort(text_fn.content_tokens(F.col("text"))), " ").alias("content"))
 
 
 def _rx(options: list[str]) -> str:

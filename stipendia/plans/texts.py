@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stipendia.functions import doc_rules, names, text, values
 from stipendia.functions.scalars import as_instant
 from stipendia.operators import documents, evidence, fields
+from stipendia.operators.frames import balanced
 from stipendia.plans.certificates import all_texts, cases, certificates
 from stipendia.plans.mapping import AS_OF
 from stipendia.plans.registry import query
@@ -69,7 +70,7 @@ WITH {_CLEAN}, h AS (SELECT doc_key, c, list_filter([{_STATE_HITS}], lambda z: z
 SELECT doc_key, s.state AS state, CASE WHEN s IS NULL THEN 0 ELSE CAST(least(98, 70 + s.n * 14) AS INT) END AS state_confidence,
  {_AUTHORITY} AS authority FROM h""")
 def _(t):
-    rows = all_texts(t).withColumn("c", documents.squeezed(F.col("text")))
+    rows = balanced(all_texts(t)).withColumn("c", documents.squeezed(F.col("text")))
     return rows.select("doc_key", documents.state_of(F.col("c")).alias("s"),
                        documents.authority_of(F.col("c")).alias("authority")).select("doc_key", "s.*", "authority")
 
@@ -106,7 +107,7 @@ _ANY_STATE = " OR ".join(hit("text", p) for _, ps in doc_rules.STATES for p in p
 SELECT doc_key, CASE {_TEMPLATE} WHEN ({_ANY_STATE}) AND {hit("text", "board[ ]+of|examination")} THEN 'state_board'
  ELSE 'generic' END AS template FROM all_texts""")
 def _(t):
-    return all_texts(t).select("doc_key", documents.template_of(F.col("text"))["template"].alias("template"))
+    return balanced(all_texts(t)).select("doc_key", documents.template_of(F.col("text"))["template"].alias("template"))
 
 
 # --- extraction ----------------------------------------------------------------------------------
@@ -143,8 +144,8 @@ def _(t):
 SELECT student_id, unnest(['TAMIL', 'ENGLISH', 'MATHEMATICS', 'SCIENCE', 'SOCIAL SCIENCE']) AS subject,
  unnest([per_subject, per_subject, per_subject, per_subject, marks10 - 4 * per_subject]) AS marks FROM cases""")
 def _(t):
-    rows = certificates(t, "ms10").select("student_id", F.inline(fields.subject_rows(F.col("text"))))
-    return rows.select("student_id", "subject", "marks")
+    rows = certificates(t, "ms10").select("student_id", F.inline_outer(fields.subject_rows(F.col("text"))))
+    return rows.where(F.col("subject").isNotNull()).select("student_id", "subject", "marks")
 
 
 @query("community_fields", "TXT-09", f"""
@@ -219,7 +220,7 @@ def _(t):
 @query("masked_texts", "TXT-18", r"""
 SELECT doc_key, sha256(regexp_replace(text, '\b\d{4}[ -]?\d{4}[ -]?(\d{4})\b', 'XXXX-XXXX-\1', 'g')) AS masked FROM all_texts""")
 def _(t):
-    return all_texts(t).select("doc_key", F.sha2(text.mask_identities_in_text(F.col("text")), 256).alias("masked"))
+    return balanced(all_texts(t)).select("doc_key", F.sha2(text.mask_identities_in_text(F.col("text")), 256).alias("masked"))
 
 
 @query("field_confidence", "TXT-20", """
