@@ -436,22 +436,20 @@ def _(t):
 
 # --- ingest --------------------------------------------------------------------------------------
 
-_INTAKE = """reg AS (SELECT DISTINCT college_id, register_number FROM roster WHERE row_number < 200),
-inc AS (SELECT * FROM roster WHERE row_number >= 200),
+_INTAKE = """reg AS (SELECT DISTINCT college_id, register_number FROM taken_keys), acc AS (SELECT DISTINCT lower(email) AS mail FROM taken_keys),
+inc AS (SELECT * FROM roster),
 cnt AS (SELECT college_id, register_number, count(*) AS n FROM inc WHERE register_number <> '' GROUP BY 1, 2),
 ver AS (SELECT i.row_number, i.college_id, CASE WHEN coalesce(i.register_number, '') = '' OR full_name IS NULL
-  OR NOT contains(email, '@') THEN 'INVALID' WHEN n > 1 OR r.college_id IS NOT NULL OR lower(email) LIKE 's12%' THEN 'DUPLICATE'
+  OR NOT contains(email, '@') THEN 'INVALID' WHEN n > 1 OR r.college_id IS NOT NULL OR mail IS NOT NULL THEN 'DUPLICATE'
   ELSE 'VALID' END AS verdict, CASE WHEN n > 1 THEN 'Duplicate register number within uploaded file'
   WHEN r.college_id IS NOT NULL THEN 'Register number already registered in college'
-  WHEN lower(email) LIKE 's12%' THEN 'Email already exists in system' END AS duplicate_reason
- FROM inc i LEFT JOIN cnt c USING (college_id, register_number) LEFT JOIN reg r USING (college_id, register_number))"""
+  WHEN mail IS NOT NULL THEN 'Email already exists in system' END AS duplicate_reason
+ FROM inc i LEFT JOIN cnt c USING (college_id, register_number) LEFT JOIN reg r USING (college_id, register_number)
+ LEFT JOIN acc ON lower(i.email) = mail)"""
 
 
 def _checked(t):
-    rows = t.roster.where("row_number >= 200")
-    taken = t.roster.where("row_number < 200")
-    accounts = t.roster.where("lower(email) LIKE 's12%'").select("email")
-    return intake.verdicts(rows, taken, accounts)
+    return intake.verdicts(t.roster, t.register, t.register.select("email"))
 
 
 @query("intake_verdicts", "RUL-26 JOI-13 WIN-04 PRJ-07 SRC-04",

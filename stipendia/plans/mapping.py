@@ -113,12 +113,17 @@ SCHEME_FIELDS = ["scheme_id", "gender", "income_limit", "category", "state", "di
                  "requires_first_graduate", "requires_govt_quota", "potential_if_disabled"]
 ROSTER = [
     "c_custkey AS row_number", "c_nationkey AS college_id",
-    "CASE WHEN c_acctbal < -900 THEN '' ELSE concat('R', CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING_)) END"
+    "CASE WHEN c_acctbal < -900 THEN '' ELSE concat('R', CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS STRING_)) END"
     " AS register_number",
     "CASE WHEN c_acctbal > 9900 THEN NULL ELSE c_name END AS full_name",
     "CASE WHEN c_mktsegment = 'HOUSEHOLD' AND c_acctbal < 500 THEN 'no-mail'"
     " ELSE concat('S', CAST(c_custkey AS STRING_), '@Example.org') END AS email",
 ]
+# Numbers and addresses already in use, read from the officers' table.
+REGISTER = [
+    "s_nationkey AS college_id", "concat('R', CAST(CAST(floor(s_acctbal / 10) AS BIGINT) AS STRING_)) AS register_number",
+    "concat('s', CAST(s_suppkey AS STRING_), '@example.ORG') AS email",
+]
 UPLOADS = [
     "l_orderkey AS application_id",
     "CASE l_returnflag WHEN 'A' THEN 'income' WHEN 'N' THEN 'community' ELSE 'marksheet' END AS document_type",
@@ -179,6 +184,7 @@ VIEWS = {
                 " JOIN region ON n_regionkey = r_regionkey",
     "schemes": f"SELECT * FROM (VALUES {_SCHEME_ROWS}) AS s({', '.join(SCHEME_FIELDS)})",
     "roster": f"SELECT {', '.join(dialect(ROSTER, 'VARCHAR'))} FROM customer",
+    "taken_keys": f"SELECT {', '.join(dialect(REGISTER, 'VARCHAR'))} FROM supplier",
     "uploads": f"SELECT {', '.join(UPLOADS)} FROM lineitem",
     "tickets": "SELECT event_id AS ticket_id, user_id AS student_id, ts AS opened_at, value AS weight"
                " FROM events WHERE event_type = 'error'",
@@ -290,6 +296,10 @@ class Tables:
     def roster(self) -> DataFrame:
         return self.raw("customer").selectExpr(*dialect(ROSTER, "STRING"))
 
+    @cached_property
+    def register(self) -> DataFrame:
+        return self.raw("supplier").selectExpr(*dialect(REGISTER, "STRING"))
+
     @cached_property
     def uploads(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(*UPLOADS)

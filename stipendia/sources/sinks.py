@@ -15,7 +15,7 @@ COLLEGE_SHEET = [
     ("Application Status", "application_status", "NO_APPLICATION"), ("Document Status", "document_status", "PENDING"),
     ("OCR/Verification Status", "verification", "VERIFIED"), ("Eligibility Status", "eligibility_status", "PENDING"),
     ("Mismatch Count", "mismatches", "0"), ("Pending Correction", "pending_correction", "No"), ("Reviewer", "reviewer", "—"),
-    ("Review Status", "decision", "PENDING"), ("Tracking Source", "external_portal_source", "SGP Internal"),
+    ("Review Status", "decision", "PENDING"), ("Tracking Source", "external_portal_source", "Internal"),
     ("Last Checked Date", "external_last_checked", "—"), ("Next Action", "next_action", "—"), ("Ticket Owner", "ticket_owner", "—"),
     ("Latest Ticket Reply", "latest_reply", "—"), ("Ticket Deadline", "ticket_deadline", "—"),
     ("Submitted Date", "submitted_at", "—"), ("Last Updated", "last_updated_at", "—"),
