@@ -154,5 +154,15 @@ def as_instant(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+def utc_instant(clock: Column) -> Column:
+    """A time-zone free timestamp read as UTC, whatever the session time zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), clock).cast("timestamp")
+
+
+def utc_clock(instant: Column) -> Column:
+    """The UTC wall clock of an instant as time-zone free timestamp."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def money(col: Column) -> Column:
     return col.cast("decimal(18,2)")

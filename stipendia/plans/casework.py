@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stipendia.functions.scalars import as_instant
 from stipendia.operators import eligibility, enrich, intake, lifecycle
 from stipendia.operators.frames import upsert
-from stipendia.plans.dashboards import PENDING, as_double, pct
+from stipendia.plans.dashboards import PENDING, pct
 from stipendia.plans.mapping import AS_OF
 from stipendia.plans.registry import query
 
@@ -472,5 +472,3 @@ WITH {_INTAKE} SELECT college_id, count(*) AS accepted FROM ver WHERE verdict =
 def _(t):
     return intake.accepted(_checked(t)).groupBy("college_id").agg(F.count(F.lit(1)).alias("accepted"))
 
-
-_ = as_double

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stipendia.functions.scalars import utc_clock, utc_instant
 from stipendia.plans.registry import query
 from stipendia.sources import readers, sinks
 from stipendia.streaming import logs
@@ -24,7 +25,7 @@ def work_folder(spark) -> str:
 def events(t):
     raw = readers.stream(t.spark, t.sf_dir, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
                          "events.parquet")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("ts", utc_instant(F.col("ts")))
 
 
 def finished(t, stream):
@@ -39,7 +40,7 @@ SELECT CAST(s AS VARCHAR) AS week_start, count(*) AS events, count_if(event_type
 WHERE s + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1""")
 def _(t):
     rows = finished(t, logs.weekly_counts(events(t), "ts", F.col("event_type") == "purchase"))
-    return rows.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd HH:mm:ss"))
+    return rows.withColumn("week_start", F.date_format(utc_clock(F.col("week_start")), "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_quota", "STR-04", """
@@ -48,7 +49,7 @@ SELECT "key", CAST(s AS VARCHAR) AS window_start, n AS requests FROM c WHERE n >
  AND s + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE""")
 def _(t):
     rows = finished(t, logs.quota_exceeded(events(t), "user_id", "ts", 1))
-    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return rows.withColumn("window_start", F.date_format(utc_clock(F.col("window_start")), "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_unique_events", "STR-05", "SELECT event_id, user_id, event_type FROM events")
