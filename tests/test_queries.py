@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from stipendia.plans.workload import REGISTRY
 from tests.compare import connect, difference
 
 ORACLE = entry.oracle_sql()
@@ -13,7 +14,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, sf_dir, con, name):
     df = entry.queries()[name](spark, sf_dir)
     if name in ORACLE:
