@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stipendia.llm import bpe, langid, packing, quality_rules
+from stipendia.llm import bpe, langid, minhash, packing, quality_rules
 from stipendia.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     found = langid.predict(docs, profiles)
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
