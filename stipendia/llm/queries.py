@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stipendia.llm import bpe, langid, minhash, packing, quality_rules
+from stipendia.llm import bpe, langid, minhash, packing, quality_rules, topk
 from stipendia.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op3_quality_rules"] = quality_rules.SQL
 
 
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+SQL["op4_top_k"] = topk.SQL
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
