@@ -13,7 +13,7 @@ both ends; n-grams have one to three characters.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,69 +24,56 @@ from stipendia.operators.frames import top_per_key
 
 PROFILE = 300
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_KEPT_WORDS, _KEPT_GRAMS, _LONG = 150_000, 300_000, 40
+_CHARACTERS = 0x110000
+_PART = 1_000_000  # characters counted together while learning
 
 
-def _codes(word: str) -> np.ndarray:
-    """The n-grams of one word as integers: up to three code points of 21 bits each."""
-    letters = np.frombuffer(f" {word} ".encode("utf-32-le"), "<u4").astype(np.int64)
-    one, two = letters[1:-1] << 42, (letters[:-1] << 42) | (letters[1:] << 21)
-    return np.concatenate([one, two, (letters[:-2] << 42) | (letters[1:-1] << 21) | letters[2:]])
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Each code point itself if it is a letter, else 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(_CHARACTERS)], np.int32)
+
+
+def _grams(text: str) -> tuple[np.ndarray, int]:
+    """All n-grams of a text as integers of up to three code points, and the bits of each.
+
+    Letters stay, anything between words is one 0; an n-gram of three has a letter in the middle.
+    """
+    points = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+    points = points[(points != 0) | (np.concatenate([[1], points[:-1]]) != 0)]
+    if len(points) < 3:
+        return np.zeros(0, np.int32), 10
+    bits = 10 if points.max() < 1024 else 21
+    kind = np.int32 if bits == 10 else np.int64
+    x = points.astype(kind)
+    two = (x[:-1] << 2 * bits) | (x[1:] << bits)
+    middle = np.flatnonzero(x[1:-1])
+    return np.concatenate([x[x != 0] << 2 * bits, two, two[middle] | x[middle + 2]]), bits
+
+
+def _wide(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Codes with 21 bits a character, in the same order."""
+    codes = codes.astype(np.int64)
+    if bits == 21:
+        return codes
+    return ((codes >> 20) << 42) | (((codes >> 10) & 1023) << 21) | (codes & 1023)
+
+
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes in rising order, counts) of the n-grams of a whole text."""
+    codes, bits = _grams(text) if text else (np.zeros(0, np.int32), 10)
+    codes.sort()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return _wide(codes[first], bits), np.diff(np.append(first, len(codes)))
 
 
 def gram_text(code: int) -> str:
     return "".join(chr(c) for c in ((code >> 42), (code >> 21) & 0x1FFFFF, code & 0x1FFFFF) if c)
 
 
-class Grams:
-    """Numbers n-grams and remembers those of frequent words; starts anew beyond a fixed size."""
-
-    def __init__(self):
-        self._clear()
-
-    def _clear(self):
-        self.words, self.number, self.codes = {}, {}, []
-
-    def _of(self, word: str) -> np.ndarray:
-        if not word.isalpha():  # numerals that count as word characters
-            parts = "".join(c if c.isalpha() else " " for c in word).split()
-            found = np.concatenate([_codes(p) for p in parts]) if parts else np.zeros(0, np.int64)
-        else:
-            found = _codes(word)
-        ids = []
-        for code in found.tolist():
-            number = self.number.get(code)
-            if number is None:
-                number = self.number[code] = len(self.codes)
-                self.codes.append(code)
-            ids.append(number)
-        return np.array(ids, np.int32)
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts) of the n-grams of a whole text."""
-        words = _WORD.findall(text.lower()) if text else []
-        if len(self.words) > _KEPT_WORDS or len(self.codes) > _KEPT_GRAMS:
-            self._clear()
-        parts = []
-        for word in words:
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self._of(word)
-                if len(word) <= _LONG:
-                    self.words[word] = ids
-            parts.append(ids)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        counted = np.bincount(np.concatenate(parts), minlength=0)
-        present = np.flatnonzero(counted)
-        return np.array(self.codes, np.int64)[present] if len(present) > 5_000 else np.array(
-            [self.codes[i] for i in present.tolist()], np.int64), counted[present]
-
-
-def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
-    """The ``size`` most frequent n-grams, ties to the smaller one."""
-    return codes[np.lexsort((codes, -counts))[:size]]
+def ranked(codes: np.ndarray, n: np.ndarray, size: int = PROFILE) -> np.ndarray:
+    """The ``size`` most frequent of n-grams in rising order, ties to the smaller one."""
+    return codes[np.argsort(-n, kind="stable")[:size]]
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> DataFrame:
@@ -94,23 +81,17 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     source = plain(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), lang_col, text_col)
 
     def count(frames):
-        grams, sums = Grams(), {}
-
-        def out():
-            for lang, by_code in sums.items():
-                yield pd.DataFrame({"lang": lang, "gram": list(by_code), "n": list(by_code.values())})
-            sums.clear()
-
         for frame in frames:
             for lang, texts in frame.groupby(lang_col, sort=False)[text_col]:
-                by_code = sums.setdefault(lang, {})
-                for text in texts:
-                    codes, counts = grams.counts(text)
-                    for code, n in zip(codes.tolist(), counts.tolist()):
-                        by_code[code] = by_code.get(code, 0) + n
-            if sum(map(len, sums.values())) > 1_000_000:
-                yield from out()
-        yield from out()
+                part, size_now = [], 0
+                for text in [*texts, None]:
+                    if text is not None:
+                        part.append(text)
+                        size_now += len(text)
+                    if part and (text is None or size_now > _PART):
+                        codes, n = counts(" ".join(part))
+                        part, size_now = [], 0
+                        yield pd.DataFrame({"lang": lang, "gram": codes, "n": n})
 
     counted = source.mapInPandas(count, "lang string, gram bigint, n bigint")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -134,10 +115,8 @@ def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_c
     source = plain(docs, id_col, text_col)
 
     def run(frames):
-        grams = Grams()
-
         def best(text):
-            mine = ranked(*grams.counts(text), size)
+            mine = ranked(*counts(text), size)
             if not len(mine) or not tables:
                 return UNKNOWN, 0.0
             order = np.arange(len(mine))
