@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stipendia.llm import bpe, langid, minhash, packing, pii, quality_rules, topk
-from stipendia.llm.common import documents
+from stipendia.llm import bpe, langid, minhash, packing, pii, quality_rules, token_files, topk
+from stipendia.llm.common import documents, saved, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), *files), *files))
 
 
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.index(token_files.read(spark, path))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
