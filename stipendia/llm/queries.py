@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stipendia.llm import bpe, langid, minhash, packing, pii, quality_rules, token_files, topk
-from stipendia.llm.common import documents, saved, shared_folder
+from stipendia.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

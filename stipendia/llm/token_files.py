@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stipendia.llm import mixing_coder
-from stipendia.llm.common import plain
+from stipendia.llm.common import plain, saved
 from stipendia.llm.tokens import tokenizer
 
 BLOCK = 4096   # ids of a block
@@ -150,10 +150,10 @@ def joined_crc(first: int, second: int, second_bytes: int) -> int:
 def index(parts: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the parts that ``read`` gives.
 
-    Parts are reduced to lengths and check sums before the shuffle; ``start`` adds the sums of earlier documents of the
+    Parts are reduced to lengths and check sums, written once and shuffled; ``start`` adds the sums of earlier documents of the
     shard and of earlier shards, of which there are as many as files.
     """
-    small = parts.select("shard", "number", "doc", F.struct("before", "n", F.crc32("ids").alias("crc")).alias("part"))
+    small = saved(parts.select("shard", "number", "doc", F.struct("before", "n", F.crc32("ids").alias("crc")).alias("part")))
     grouped = small.groupBy("shard", "number").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list("part")).alias("parts"))
 
     @F.pandas_udf("long")
