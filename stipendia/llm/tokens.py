@@ -28,7 +28,8 @@ class PartTokenizer:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}   # parts seen lately; those not seen again since the last change are dropped
+        self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()  # each character of a byte-level token stands for one byte
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
@@ -58,14 +59,19 @@ class PartTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text; null and empty texts have none."""
         if len(self.known) > _REMEMBERED:
-            self.known = {}
+            self.known, self.older = {}, self.known
         cut = [_PART.findall(t) if t and not ODD_SPACE.search(t) else None for t in texts]
-        known = self.known
-        new = {p for parts in cut if parts for p in parts if p not in known}
+        known, new = self.known, set()
+        for parts in cut:
+            if parts:
+                new.update(set(parts).difference(known))
+        again = new.intersection(self.older)
+        known.update((p, self.older[p]) for p in again)
+        new -= again
         if new:
             known.update(self._encode(list(new)))
         whole = iter(self._whole([t for t, parts in zip(texts, cut) if parts is None and t]))
-        out = [b"".join([known[p] for p in parts]) if parts else next(whole) if t else b"" for t, parts in zip(texts, cut)]
+        out = [b"".join(map(known.__getitem__, parts)) if parts else next(whole) if t else b"" for t, parts in zip(texts, cut)]
         for p in new:
             if len(p) > _LONG:
                 del known[p]
