@@ -37,3 +37,20 @@ def near_duplicates(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+
+
+def repeated(rows: list[tuple[int, str | None]], length: int = 100) -> dict[int, tuple[int, int, int, bytes]]:
+    """doc_id -> bytes, bytes removed, removed runs, bytes left."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - length + 1):
+            window = data[p:p + length]
+            if window in seen:
+                gone[p:p + length] = b"\x01" * length
+            seen.add(window)
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
+        out[i] = (len(data), len(data) - len(kept), spans, kept)
+    return out
