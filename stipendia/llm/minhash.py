@@ -9,14 +9,15 @@ threshold of 0.75 shares none of the bands with a chance of 2e-6.
 Texts with equal sets are one node.  In each bucket of a band every node is
 compared with the bucket's smallest and largest node, which joins most groups
 of copies.  Then nodes of one bucket that are still in different components
-are compared with each other, provided that 64 four-bit coordinates do not
-already show them far apart (a pair at the threshold fails that with a
+are compared with each other, chunk by chunk, unless 64 four-bit coordinates
+show a node far from all of them (a pair at the threshold fails that with a
 chance below 1e-6).  Every comparison that decides is exact, on full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,6 +30,7 @@ THRESHOLD = 75  # per cent
 ROWS, BANDS = 5, 48
 UNIVERSE = 20
 SKETCH = 64     # coordinates in the four-bit sketch
+CHUNK = 500     # nodes of a bucket compared with as many others at once
 FAR_APART = 31  # agreeing coordinates of the sketch below which a pair is not compared
 _NIBBLES = 0x1111111111111111
 
@@ -142,21 +144,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ends = shared.select("id", F.explode(F.array_distinct(F.array("low", "high"))).alias("end"))
     pairs = saved(ends.where("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct())
-    first = saved(_confirmed(pairs, saved(_texts_of(docs, nodes, pairs, id_col, text_col))))
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    first = saved(_confirmed(pairs, saved(_sets_of(docs, nodes, named, id_col, text_col))))
     joined = saved(components(first))
 
     labelled = shared.join(joined, "id", "left").select(
         "bucket", "id", "n_shingles", "sketch", F.coalesce("component", "id").alias("component"))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     open_members = saved(labelled.join(split, "bucket", "left_semi"))
-    other = open_members.select(F.col("bucket"), F.col("id").alias("other"), F.col("n_shingles").alias("other_n"),
+    other = open_members.select(F.col("bucket").alias("same_bucket"), F.col("n_shingles").alias("other_n"),
                                 F.col("sketch").alias("other_sketch"), F.col("component").alias("other_component"))
     agreeing = sum((16 - F.bit_count(_unequal(F.get("sketch", F.lit(i)), F.get("other_sketch", F.lit(i)))) for i in range(4)), F.lit(0))
-    across = open_members.alias("m").join(other.alias("o"), (F.col("m.bucket") == F.col("o.bucket")) & (F.col("component") < F.col("other_component"))
-                                          & close & (agreeing >= FAR_APART))
-    rest = saved(across.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-                 .join(pairs, ["a", "b"], "left_anti"))
-    second = _confirmed(rest, saved(_texts_of(docs, nodes, rest, id_col, text_col)))
+    doubtful = saved(open_members.join(other, (F.col("bucket") == F.col("same_bucket")) & (F.col("component") != F.col("other_component"))
+                                       & close & (agreeing >= FAR_APART), "left_semi").select("bucket", "id", "component"))
+    second = _links_across(doubtful, saved(_sets_of(docs, nodes, doubtful.select("id").distinct(), id_col, text_col)))
     final = components(first.union(second))
 
     node_of = nodes.select("key", F.col("id").alias("node")).join(final.withColumnRenamed("id", "node"), "node", "left").select(
@@ -174,8 +175,44 @@ def _unequal(x, y):
     return d.bitwiseAND(F.lit(_NIBBLES))
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Packed sets of the nodes in ``pairs``; of several rows with one id, the one the node stands for."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets_of(docs: DataFrame, nodes: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles packed) of the named nodes; of several rows with one id, the one the node stands for."""
     found = _sets(docs, saved(named), id_col, text_col)
     return found.join(nodes.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+
+
+def _links_across(doubtful: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of one bucket that are in different components.
+
+    The nodes of a bucket are dealt into chunks of about ``CHUNK`` and every two chunks meet in one group, so a bucket
+    of any size is compared whole by groups of bounded size, and no pair is ever a row.
+    """
+    sizes = doubtful.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    own, met = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = (doubtful.join(sizes, "bucket").select("bucket", "id", "component", own.alias("own"), met.alias("met"))
+             .select("bucket", "id", "component", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j")))
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, label = rows["id"].to_numpy(), rows["component"].to_numpy().copy()
+        arrays = [np.frombuffer(v, np.uint64) for v in rows["shingles"]]
+        size = np.array([len(a) for a in arrays])
+        owner = np.repeat(np.arange(len(arrays)), size)
+        _, number = np.unique(np.concatenate(arrays), return_inverse=True)
+        by_number = np.argsort(number, kind="stable")
+        posting, starts = owner[by_number], np.searchsorted(number[by_number], np.arange(number.max() + 2))
+        begin = np.cumsum(size) - size
+        values, counts = np.unique(label, return_counts=True)
+        out = []
+        for u in np.flatnonzero(label != values[counts.argmax()]):  # of two components, one is not the commonest
+            mine = number[begin[u]:begin[u] + size[u]]
+            shared = np.bincount(np.concatenate([posting[starts[x]:starts[x + 1]] for x in mine]), minlength=len(ids))
+            linked = np.flatnonzero((100 * shared >= THRESHOLD * (size[u] + size - shared)) & (label != label[u]))
+            for v in linked.tolist():
+                if label[v] != label[u]:
+                    out.append((ids[u], ids[v]))
+                    label[label == label[v]] = label[u]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = dict(doubtful.dtypes)["id"]
+    return dealt.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(cell, f"a {kind}, b {kind}")
