@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stipendia.llm import bpe, langid, minhash, packing, pii, quality_rules, suffix_dedup, token_files, topk
+from stipendia.llm import bpe, langid, licenses, minhash, packing, pii, quality_rules, suffix_dedup, token_files, topk
 from stipendia.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(build):
     return build
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(documents(spark, sf_dir)).select(
