@@ -132,10 +132,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links of 100 * intersection >= 75 * union.  Null and empty texts
     and texts without a word have no shingles and are linked with nothing.  Rows with the same id are one document.
-    Other columns are not read; an empty table gives an empty table.
+    A row without an id is linked with nothing and kept, its component null.  Other columns are not read; an empty table
+    gives an empty table.
     """
     signed = saved(signatures(docs, id_col, text_col))
-    nodes = saved(signed.where(F.col("key").isNotNull()).groupBy("key").agg(
+    nodes = saved(signed.where("key is not null and id is not null").groupBy("key").agg(
         F.min_by(F.struct("id", "n_shingles", "bands", "sketch"), "id").alias("n")).select("key", "n.*"))
     members = nodes.select("id", "n_shingles", "sketch", F.explode("bands").alias("bucket"))
     buckets = saved(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
@@ -163,8 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node_of = nodes.select("key", F.col("id").alias("node")).join(final.withColumnRenamed("id", "node"), "node", "left").select(
         "key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("id", "n_shingles", "key").join(node_of, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-                      (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
+                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _unequal(x, y):

@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stipendia.llm.boosting import BoostedTrees
-from stipendia.llm.common import plain
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")  # the order of spans; the first four have base patterns
 TRAINING_ROWS = 6_000
@@ -271,15 +270,16 @@ def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = True) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base, spans[, redacted]) of every row.
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = True,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_email, n_ip, n_card, n_phone, base, spans[, redacted], carried columns) of every row.
 
     Counts and ``base`` are of the base spans; ``spans`` has all; both are kind:start:end in code points, joined by
-    commas.  Null and empty texts have none (redacted: null stays null); repeated rows are answered each; other columns
-    are not read.
+    commas.  Null and empty texts have none (redacted: null stays null); repeated rows are answered each; columns not
+    named in ``carry`` are not read.
     """
     selector = train()
-    source = plain(docs, id_col, text_col)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
 
     def run(batches):
         for batch in batches:
@@ -294,14 +294,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 all_of.append(named(spans))
                 clean.append(redact(text, spans) if spans else text)
             columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base_of, pa.string()), pa.array(all_of, pa.string())]
-            names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base", "spans"]
             if with_redacted:
                 columns.append(pa.array(clean, pa.string()))
-                names.append("redacted")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
 
-    kinds = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string" + ", redacted string" * with_redacted
-    return source.mapInArrow(run, f"`{id_col}` {dict(source.dtypes)[id_col]}, {kinds}")
+    added = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans"] + ["redacted"] * with_redacted
+    names = ["id", *added, *source.columns[2:]]
+    kinds = [dict(source.dtypes)["id"], *["bigint"] * 4, *["string"] * (len(added) - 4), *[t for _, t in source.dtypes[2:]]]
+    out = source.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
+    return out.toDF(id_col, *added, *carry)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -102,13 +102,15 @@ def apply_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text
             .withColumn("n_removed_words", F.when(F.length("cleaned") < F.length("text"), F.col("n_words")
                                                   - F.size(words_of(F.col("cleaned")))).otherwise(F.lit(0)).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select(
+    judged = rows.select(
         "doc", "cleaned", "n_words",
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words", "n_removed_words", failed.alias("base_failed"),
         (~failed & (2 * F.col("n_removed_words") <= F.col("n_words"))).alias("kept"))
+    # A filter of the caller must not be pushed below the arrays, where they would be built anew for every element.
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
 # The same rules for DuckDB, over whole texts.

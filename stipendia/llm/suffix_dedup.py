@@ -149,19 +149,22 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept binary): each text's bytes without its repeats.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept binary, kept_text, carried columns): each text without its repeats.
 
-    Null and empty texts have no bytes.  Ids name documents: a row repeated in full is the same document and answered
-    alike, and a null id has no place in the order, so its text stays whole.  Texts are judged as they came, not after
-    removals.  Other columns are not read; an empty table gives an empty table.
+    ``kept`` are the remaining bytes; ``kept_text`` is the same without characters of which a byte is gone.  Null and
+    empty texts have no bytes (``kept_text`` of null is null).  Ids name documents: a row repeated in full is the same
+    document and answered alike, and a null id has no place in the order, so its text stays whole.  Texts are judged as
+    they came, not after removals.  Columns not named in ``carry`` are not read; an empty table gives an empty table.
     """
-    source = plain(docs, id_col, text_col).toDF("doc", "text").withColumn("doc", F.col("doc").cast("long"))
-    joined = source.join(saved(repeated_stretches(docs, id_col, text_col)), "doc", "left").select("doc", "text", "stretches")
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
+                         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    joined = source.join(saved(repeated_stretches(docs, id_col, text_col)), "doc", "left").select(
+        "doc", "text", "stretches", *source.columns[2:])
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for text, stretches in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 spans = merged([(s["start"], min(s["end"], len(data))) for s in stretches or () if s["start"] < len(data)])
@@ -170,10 +173,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     parts.append(data[at:start])
                     at = end
                 kept = b"".join([*parts, data[at:]])
-                for column, value in zip(rows, (len(data), len(data) - len(kept), len(spans), kept)):
+                whole = text if not spans else kept.decode("utf-8", "ignore")
+                for column, value in zip(rows, (len(data), len(data) - len(kept), len(spans), kept, whole)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary())],
-                                             names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.string()),
+                 *batch.columns[3:]], names=names)
+
+    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *source.columns[2:]]
+    kinds = "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
+    out = joined.mapInArrow(run, kinds + "".join(f", {n} {t}" for n, t in source.dtypes[2:]))
+    return out.toDF(*names[:6], *carry)
