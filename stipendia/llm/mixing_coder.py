@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-SLOTS = 12            # bits of a context slot
+SLOTS = 11            # bits of a context slot
 CHANCE = 12           # bits of a probability
 RATE = 4              # adaptation of an estimate
 TOP, BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
@@ -84,7 +84,13 @@ class _Coder:
             span[at] = (span[at] << np.uint64(8)) & _LOW32
         self.low[lanes], self.range[lanes] = low, span
 
+    def reserve(self, n: int) -> None:
+        """Room for ``n`` more bytes in every lane."""
+        if self.encoding and int(self.at.max(initial=0)) + n > self.bytes.shape[1]:
+            self.bytes = np.pad(self.bytes, ((0, 0), (0, self.bytes.shape[1] + n)))
+
     def finished(self) -> list[bytes]:
+        self.reserve(4)
         for _ in range(4):
             self.bytes[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(24)).astype(np.uint8)
             self.low = (self.low << np.uint64(8)) & _LOW32
@@ -119,12 +125,13 @@ def _run(coder: _Coder, lengths: np.ndarray, bits: int, ids: np.ndarray | None)
     """Code step by step; lanes are sorted by falling length, so the active ones are a prefix."""
     lanes_all, steps = len(lengths), int(lengths.max(initial=0))
     model = _Model(lanes_all)
-    out = np.zeros((lanes_all, steps), np.int64) if ids is None else ids
+    out = np.zeros((lanes_all, steps), np.int32) if ids is None else ids
     before, earlier = np.zeros(lanes_all, np.int64), np.zeros(lanes_all, np.int64)
     full, one = np.uint64(1 << CHANCE), (1 << CHANCE) - 1
     active_at = np.searchsorted(-lengths, -np.arange(steps), side="left")
     for t in range(steps):
         n = int(active_at[t])
+        coder.reserve(16)
         lanes, weight = slice(0, n), model.weight[:, :n]
         slots = [model.base[:n] + _hash(before[:n], 0), model.base[:n] + _hash(before[:n], earlier[:n] + 1)]
         first, second = model.guess[0][slots[0]], model.guess[1][slots[1]]
@@ -133,7 +140,7 @@ def _run(coder: _Coder, lengths: np.ndarray, bits: int, ids: np.ndarray | None)
         mixed = (weight[0] * parts[0] + weight[1] * parts[1] + weight[2] * parts[2]) // (weight[0] + weight[1] + weight[2])
         chance = np.minimum(np.maximum(mixed, 32), one - 31).astype(np.uint64)
         if coder.encoding:
-            value = out[:n, t]
+            value = out[:n, t].astype(np.int64)
             hit = value == guess
             coder.narrow(lanes, np.where(hit, np.uint64(0), chance), np.where(hit, chance, full - chance), full)
         else:
@@ -204,10 +211,10 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     bits = max(4 * LEVELS, max((int(b.max()).bit_length() for b in blocks if len(b)), default=0))
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), int(lengths.max(initial=0))), np.int64)
+    ids = np.zeros((len(blocks), int(lengths.max(initial=0))), np.int32)
     for row, i in zip(ids, order):
         row[:len(blocks[i])] = blocks[i]
-    coder = _Coder(len(blocks), 4 * ids.shape[1] + 64)
+    coder = _Coder(len(blocks), 2 * ids.shape[1])
     _run(coder, lengths, bits, ids)
     out: list[bytes] = [b""] * len(blocks)
     for i, payload in zip(order, coder.finished()):

@@ -18,7 +18,8 @@ import numpy as np
 from stipendia.llm.common import ODD_SPACE
 
 _PART = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-_REMEMBERED, _LONG, _JOINED = 400_000, 64, 5_000
+_REMEMBERED, _LONG, _JOINED = 250_000, 64, 5_000  # parts remembered, longest of them, parts encoded as one
+_TOGETHER = 2_000_000                             # characters cut into parts at once
 _BLANKS = " \t\n\r\f\v"
 
 
@@ -58,6 +59,15 @@ class PartTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text; null and empty texts have none."""
+        out, start, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size > _TOGETHER or i == len(texts) - 1:
+                out += self._encode_some(texts[start:i + 1])
+                start, size = i + 1, 0
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > _REMEMBERED:
             self.known, self.older = {}, self.known
         cut = [_PART.findall(t) if t and not ODD_SPACE.search(t) else None for t in texts]
@@ -72,9 +82,8 @@ class PartTokenizer:
             known.update(self._encode(list(new)))
         whole = iter(self._whole([t for t, parts in zip(texts, cut) if parts is None and t]))
         out = [b"".join(map(known.__getitem__, parts)) if parts else next(whole) if t else b"" for t, parts in zip(texts, cut)]
-        for p in new:
-            if len(p) > _LONG:
-                del known[p]
+        for p in [p for p in new if len(p) > _LONG]:
+            del known[p]
         return out
 
 
