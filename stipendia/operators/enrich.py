@@ -77,12 +77,14 @@ def nested_record(admin: DataFrame) -> DataFrame:
         F.struct("ticket_id", "pending_correction", "mismatches").alias("support"))
 
 
-def case_file(apps: DataFrame, reviews: DataFrame, deficiencies: DataFrame, eligibility: DataFrame) -> DataFrame:
+def case_file(apps: DataFrame, reviews: DataFrame, deficiencies: DataFrame, eligibility: DataFrame,
+              history: DataFrame) -> DataFrame:
     """Everything known about each application as dated lines.
 
     One line per child row instead of arrays, so that an application with very
     many children is never held by one task; readers sort by
-    (application_id, section, at).
+    (application_id, section, at).  An application without any child row has one
+    line with a null section.
     """
     def lines(df: DataFrame, section: str, at: str, detail: Column) -> DataFrame:
         return df.select("application_id", F.lit(section).alias("section"), F.col(at).alias("at"),
@@ -93,8 +95,9 @@ def case_file(apps: DataFrame, reviews: DataFrame, deficiencies: DataFrame, elig
              .unionByName(lines(deficiencies, "deficiency", "created_at",
                                 F.concat_ws(" ", "deficiency_type", "severity", "status")))
              .unionByName(lines(reviews, "review", "reviewed_at",
-                                F.concat_ws(" ", "decision", F.col("reviewer_id").cast("string")))))
-    return apps.select("application_id", "application_status").join(child, "application_id")
+                                F.concat_ws(" ", "decision", F.col("reviewer_id").cast("string"))))
+             .unionByName(lines(history, "history", "changed_at", F.col("new_status"))))
+    return apps.select("application_id", "application_status").join(child, "application_id", "left")
 
 
 # --- export projections --------------------------------------------------------------------------

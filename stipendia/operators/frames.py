@@ -94,9 +94,14 @@ def zero_filled(df: DataFrame, *columns: str) -> DataFrame:
     return df.fillna(0, list(columns))
 
 
+# The published limit of one page.
+PAGE_ROWS = 100
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page with the total and page count; the size is held within 1..100."""
-    size = max(1, min(100, size))
+    """One page with the total and page count.  A size outside 1..``PAGE_ROWS`` is an error, never a shorter page."""
+    if not 1 <= size <= PAGE_ROWS:
+        raise ValueError(f"a page has 1 to {PAGE_ROWS} rows, not {size}")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
     return rows.withColumn("total", total).withColumn(
@@ -106,7 +111,9 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 def page_after(df: DataFrame, key: str, last_key, size: int) -> DataFrame:
     """Keyset page: the filter reaches the scan, no rows are skipped one by one."""
     rows = df if last_key is None else df.where(F.col(key) > F.lit(last_key))
-    return rows.orderBy(key).limit(max(1, min(100, size)))
+    if not 1 <= size <= PAGE_ROWS:
+        raise ValueError(f"a page has 1 to {PAGE_ROWS} rows, not {size}")
+    return rows.orderBy(key).limit(size)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -68,13 +68,14 @@ def _(t):
 @query("case_file", "JOI-19 JOI-03", """
 WITH c AS (SELECT application_id, 'eligibility' AS section, submitted_at AS moment, document_status AS detail FROM apps_raw
  UNION ALL SELECT application_id, 'deficiency', created_at, deficiency_type || ' ' || severity || ' ' || status FROM deficiencies
- UNION ALL SELECT application_id, 'review', reviewed_at, decision || ' ' || reviewer_id FROM reviews)
+ UNION ALL SELECT application_id, 'review', reviewed_at, decision || ' ' || reviewer_id FROM reviews
+ UNION ALL SELECT application_id, 'history', changed_at, new_status FROM history)
 SELECT application_id, application_status, section, CAST(moment AS DATE) AS on_day, detail
-FROM apps_raw JOIN c USING (application_id)""")
+FROM apps_raw LEFT JOIN c USING (application_id)""")
 def _(t):
     results = t.apps_raw.select("application_id", F.col("submitted_at").alias("evaluated_at"),
                                 F.col("document_status").alias("result"))
-    return enrich.case_file(t.apps_raw, t.reviews, t.deficiencies, results).withColumn(
+    return enrich.case_file(t.apps_raw, t.reviews, t.deficiencies, results, t.history).withColumn(
         "on_day", F.col("at").cast("date")).drop("at")
 
 

@@ -100,9 +100,9 @@ def _rx(options: list[str]) -> str:
     return retrieval.whole_phrase(options)
 
 
-_FIRST = " ".join(f"WHEN {sql_match('x', _rx(retrieval.phrases(b)))} THEN '{n}'" for n, b in retrieval.PRIORITY_INTENTS.items())
+_FIRST = " ".join(f"WHEN {sql_match('x', _rx(b))} THEN '{n}'" for n, b in retrieval.PRIORITY_INTENTS.items())
 _SCORED = ", ".join(
-    "{'s': " + " + ".join(f"CASE WHEN {sql_match('x', _rx([p]))} THEN {2 * len(p.split(' '))} ELSE 0 END" for p in retrieval.phrases(b))
+    "{'s': " + " + ".join(f"CASE WHEN {sql_match('x', _rx([p]))} THEN {2 * len(p.split(' '))} ELSE 0 END" for p in b)
     + f", 'p': {-i}, 'n': '{n}'" + "}" for i, (n, b) in enumerate(retrieval.SCORED_INTENTS.items()))
 
 

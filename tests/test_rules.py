@@ -148,3 +148,32 @@ def test_second_alert_run_creates_none(spark):
     sent = first.select("application_id", as_instant(now).alias("created_at"))
     assert lifecycle.delay_alerts(late, sent, "2024-01-04 05:00:00").count() == 0
     assert lifecycle.delay_alerts(late, sent, "2024-01-04 07:00:00").count() == 1
+
+
+def test_case_file_keeps_childless_applications(spark):
+    from stipendia.operators import enrich
+    apps = spark.createDataFrame([(1, "A"), (2, "B")], "application_id long, application_status string")
+    none = spark.createDataFrame([], "application_id long, deficiency_type string, severity string, status string, created_at timestamp")
+    reviews = spark.createDataFrame([], "application_id long, reviewed_at timestamp, decision string, reviewer_id long")
+    results = spark.createDataFrame([], "application_id long, evaluated_at timestamp, result string")
+    moves = spark.sql("SELECT 1L application_id, timestamp'2024-01-02 00:00:00' changed_at, 'SUBMITTED' new_status")
+    got = {(r.application_id, r.section, r.detail) for r in enrich.case_file(apps, reviews, none, results, moves).collect()}
+    assert got == {(1, "history", "SUBMITTED"), (2, None, None)}
+
+
+def test_page_size_is_never_cut(spark):
+    import pytest
+    from stipendia.operators.frames import page, page_after
+    rows = spark.range(300)
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            page(rows, [rows["id"]], 1, bad)
+        with pytest.raises(ValueError):
+            page_after(rows, "id", None, bad)
+
+
+def test_long_words_keep_their_letters(spark):
+    from pyspark.sql import functions as F
+    from stipendia.functions.names import title_name
+    row = spark.range(1).select(F.length(title_name(F.lit("a" * 1500))).alias("n")).first()
+    assert row.n == 1500
