@@ -18,7 +18,7 @@ import numpy as np
 from stipendia.llm.common import ODD_SPACE
 
 _PART = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-_REMEMBERED, _LONG, _JOINED = 250_000, 64, 5_000  # parts remembered, longest of them, parts encoded as one
+_REMEMBERED, _LONG, _JOINED = 400_000, 64, 5_000  # parts remembered, longest of them, parts encoded as one
 _TOGETHER = 2_000_000                             # characters cut into parts at once
 _BLANKS = " \t\n\r\f\v"
 
