@@ -18,7 +18,7 @@ _ASK = """concat('I am a ', lower(community), CASE WHEN bal < 4000 THEN ' girl'
  ELSE '' END, ', family income ', CASE WHEN bal < 3000 THEN concat('is Rs. ', CAST(income AS STRING_)) WHEN bal < 6000 THEN '1.5 lakh'
  ELSE 'about 2,50,000' END, ', am i eligible for NSP scholarship')"""
 VIEWS["asked"] = f"SELECT student_id AS query_id, {_ASK.replace('STRING_', 'VARCHAR')} AS text, community, bal, nat, seg, income FROM cases"
-VIEWS["turns"] = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+VIEWS["turns"] = "SELECT conv_id || '/' || turn AS query_id, text FROM conversations WHERE role = 'user'"
 VIEWS["all_questions"] = ("SELECT 'a' || query_id AS query_id, text FROM asked UNION ALL SELECT 't' || query_id, text FROM turns")
 
 
@@ -28,7 +28,7 @@ def asked(t):
 
 def turns(t):
     return t.raw("conversations").where("role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+        F.concat_ws("/", "conv_id", "turn").alias("query_id"), "text")
 
 
 def all_questions(t):
@@ -117,7 +117,7 @@ def _(t):
 
 _CORPUS = """c AS (SELECT item_id AS qa_id, lower(text) AS lq, trim(regexp_replace(trim(lower(text)), '[?.,!]', '', 'g')) AS norm, {tc} AS tok FROM benchmark),
 q AS (SELECT query_id, trim(regexp_replace(trim(lower(text)), '[?.,!]', '', 'g')) AS norm FROM (SELECT query_id, text FROM turns
- UNION ALL SELECT 900000000 + doc_id, text FROM documents)), u AS (SELECT norm, {tq} AS tok FROM (SELECT DISTINCT norm FROM q WHERE norm <> ''))"""
+ UNION ALL SELECT 'd' || doc_id, text FROM documents)), u AS (SELECT norm, {tq} AS tok FROM (SELECT DISTINCT norm FROM q WHERE norm <> ''))"""
 _PAIRS = _CORPUS.format(tc=sql_tokens("text"), tq=sql_tokens("norm")).replace("trim(regexp_replace(trim(lower(text)), '[?.,!]', '', 'g'))",
                                                                             "regexp_replace(trim(lower(text)), '[?.,!]', '', 'g')")
 
@@ -133,7 +133,7 @@ SELECT q.query_id, b.qa_id, floor(b.score * 1000000) AS score FROM q JOIN b USIN
 def _(t):
     corpus = t.raw("benchmark").select(F.col("item_id").alias("qa_id"), F.col("text").alias("question"), F.lit(False).alias("generated"),
                                        F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("category"))
-    docs = t.raw("documents").select((F.lit(900_000_000) + F.col("doc_id")).alias("query_id"), "text")
+    docs = t.raw("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"), "text")
     found = retrieval.best_answers(turns(t).unionByName(docs), corpus)
     return found.withColumn("score", F.floor(F.col("score") * 1000000))
 
