@@ -177,3 +177,10 @@ def test_long_words_keep_their_letters(spark):
     from stipendia.functions.names import title_name
     row = spark.range(1).select(F.length(title_name(F.lit("a" * 1500))).alias("n")).first()
     assert row.n == 1500
+
+
+def test_school_of_the_second_label(spark):
+    from stipendia.operators.fields import with_school
+    texts = ["SCHOOL: GHS\nROLL NO 12\nNAME OF THE SCHOOL : KENDRIYA SALEM WEST", "NAME OF THE SCHOOL : KENDRIYA SALEM WEST\nROLL NO 9\nSCHOOL: MODEL SCHOOL ERODE", "no label"]
+    rows = with_school(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")).orderBy("id").collect()
+    assert [r.school for r in rows] == ["KENDRIYA SALEM WEST", "KENDRIYA SALEM WEST", None]
