@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, digits as 0, runs of blanks as one) and
-hashed.  Per host, a line is counted once for each different pair of
-neighbouring lines it stands between, so that copies of a document, exact or
-edited elsewhere, count as one document.  Lines above the host's limit are
-removed; a document that loses more than half of its words is rejected as
-depleted.
+hashed.  Per host, the distinct documents of a line are counted, whatever
+stands around it and however often it stands in one document; a document is
+known by the hash of its whole text, so exact copies count once.  Lines above
+the host's limit are removed; a document that loses more than half of its
+words is rejected as depleted.
 
 The limit is a share of the host's documents, so a host has at most
 (mean lines a document / ``share``) such lines whatever its size.  They are
@@ -46,15 +46,12 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
     """(host, frequent array<long>): hashes of the lines above each host's limit.
 
     A line is above it if it stands in more than ``max(min_count, share * documents of the host)`` different
-    surroundings.  Null hosts are one host of their own.
+    texts.  Null hosts are one host of their own.
     """
     rows = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    keyed = rows.select("host", _line_keys(F.col("text")).alias("keys"))
-    around = F.array_distinct(F.transform("keys", lambda key, i: F.struct(
-        key.alias("line"), F.xxhash64(F.coalesce(F.get("keys", i - 1), F.lit(0)), F.coalesce(F.get("keys", i + 1), F.lit(0))).alias("around"))))
-    lines = keyed.select("host", F.explode(around).alias("l")).select("host", "l.line", "l.around").where("line is not null")
-    counted = (lines.groupBy("host", "line", "around").agg(F.lit(1).alias("one"))
+    lines = rows.select("host", F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(_line_keys(F.col("text")))).alias("line"))
+    counted = (lines.where("line is not null").groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
                .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_count))
     above = (counted.join(sizes, counted["host"].eqNullSafe(sizes["host"])).where(F.col("n") > F.col("n_docs") * share)
              .select(counted["host"], "line"))
