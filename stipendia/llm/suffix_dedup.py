@@ -12,11 +12,13 @@ exact and spread:
    reaches the shuffle once a task.
 2. Runs that share their anchor hash with a different run may share part of
    their windows.  Their bytes form shards, whole anchor groups each, and the
-   shards are sorted by ``induced_sort``.
+   shards are sorted by ``induced_sort``.  An anchor with more runs than a
+   shard holds is split by the hashes of its windows instead: equal windows
+   still meet, and each task sends only its earliest place of a window.
 3. The repeats of each document are merged and cut out.
 
-Hashes have 57 and 64 bits: two different runs are taken for equal only if
-both collide.
+Hashes have 57 and 64 bits: two different runs, or windows of a split anchor,
+are taken for equal only if both collide.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from stipendia.llm import anchors
 from stipendia.llm.common import plain, saved
 from stipendia.llm.induced_sort import repeats
+from stipendia.llm.shingles import mixed
 
 LENGTH = anchors.LENGTH
-SHARD_BYTES = 8 << 20  # anchor groups are sorted together up to this size
+SHARD_BYTES = 8 << 20  # anchor groups are sorted together up to this size; no group is larger
 
 
 def _runs(source: DataFrame) -> DataFrame:
@@ -113,6 +116,61 @@ def _sorted_repeats(segments: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "doc long, start long, end long")
 
 
+def _windows(segments: DataFrame) -> DataFrame:
+    """(anchor, window, doc, start, end): the earliest place in a batch of each window of the segments.
+
+    The later ones are repeats already and come merged, without anchor and window.
+    """
+    half = 1 << LENGTH.bit_length() - 1  # two strings of this many bytes cover a window
+
+    def run(batches):
+        for batch in batches:
+            anchor, doc, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            parts = batch.column(3).to_pylist()
+            if not parts:
+                continue
+            size = np.array([len(p) for p in parts], np.int64)
+            hashes = anchors.gram_hashes(np.frombuffer(b"".join(parts), np.uint8), half)
+            count = size - LENGTH + 1
+            row = np.repeat(np.arange(len(parts)), count)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = (np.cumsum(size) - size)[row] + inside
+            window = mixed(mixed(hashes[at]) + hashes[at + LENGTH - half])
+            anchor, doc, start = anchor[row], doc[row], first[row].astype(np.int64) + inside
+            order = np.lexsort((start, doc, window, anchor))
+            anchor, window, doc, start = anchor[order], window[order], doc[order], start[order]
+            leads = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1])])
+            earliest = np.maximum.accumulate(np.where(leads, np.arange(len(leads)), 0))
+            again = (doc != doc[earliest]) | (start != start[earliest])
+            order = np.lexsort((start[again], doc[again]))
+            gone, begin = doc[again][order], start[again][order]
+            opens = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1]) | (begin[1:] > begin[:-1] + LENGTH)])[:len(gone)])
+            closes = np.append(opens[1:], len(gone))[:len(opens)] - 1
+            none = pa.nulls(len(opens), pa.int64())
+            for columns in ((anchor[leads], window[leads].view(np.int64), doc[leads], start[leads], start[leads] + LENGTH),
+                            (none, none, gone[opens], begin[opens], begin[closes] + LENGTH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "window", "doc", "start", "end"])
+
+    return segments.mapInArrow(run, "anchor long, window long, doc long, start long, end long")
+
+
+def _split_repeats(source: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, start, end): repeats among runs of anchors with too many runs for a shard; no step gathers an anchor."""
+    by_run = W.partitionBy("anchor", "packed", "digest").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    windows = F.col("packed").bitwiseAND(F.lit(127)).cast("int")
+    judged = saved(runs.repartition("anchor", "packed", "digest").withColumn("leads", F.col("place") == F.first("place").over(by_run))
+                   .select("anchor", windows.alias("windows"), "place.doc", "place.first", "leads"))
+    copies = judged.where("not leads").select("doc", F.col("first").cast("long").alias("start"),
+                                              (F.col("first") + F.col("windows") + F.lit(LENGTH)).cast("long").alias("end"))
+    wanted = judged.where("leads").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("runs"))
+    found = saved(_windows(_segments(source, wanted)))
+    place = F.struct("doc", "start")
+    by_window = W.partitionBy("anchor", "window").orderBy("doc", "start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    later = (found.where("window is not null").repartition("anchor", "window").withColumn("earliest", F.first(place).over(by_window))
+             .where(place != F.col("earliest")).select("doc", "start", "end"))
+    return copies.union(found.where("window is null").select("doc", "start", "end")).union(later)
+
+
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, stretches array<(start, end)>): byte ranges to remove, of documents that have any; they may overlap."""
     source = plain(docs, id_col, text_col).toDF("doc", "text").withColumn("doc", F.col("doc").cast("long"))
@@ -121,7 +179,14 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     settled = runs.where("again").select("doc", F.col("first").cast("long").alias("start"), (F.col("first") + windows).alias("end"))
     # One sort by anchor, digest and place serves both windows.
     anchor = F.shiftright("packed", 7)
-    open_runs = runs.where("not again").select(anchor.alias("anchor"), "packed", "digest", F.struct("doc", "first").alias("place")).repartition("anchor")
+    open_runs = runs.where("not again").select(anchor.alias("anchor"), "packed", "digest", F.struct("doc", "first").alias("place"))
+    # A run has at most 2 * LENGTH bytes.
+    hot = saved(open_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_BYTES // (2 * LENGTH)).select("anchor"))
+    split = None
+    if not hot.isEmpty():
+        split = _split_repeats(source, open_runs.join(hot, "anchor", "left_semi"))
+        open_runs = open_runs.join(hot, "anchor", "left_anti")
+    open_runs = open_runs.repartition("anchor")
     by_run = W.partitionBy("anchor", "packed", "digest")
     by_anchor = W.partitionBy("anchor").orderBy("packed", "digest").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     judged = (open_runs.withColumn("earliest", F.first("place").over(by_run.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)))
@@ -136,6 +201,8 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = judged.where("leads").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("runs"))
     partly = _sorted_repeats(_segments(source, wanted))
     every = settled.union(copies).union(partly)
+    if split is not None:
+        every = every.union(split)
     return every.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
 
 

@@ -1,6 +1,9 @@
 """Cases that a part of the job would get wrong: blocks of lines, hot keys, wrapped notices, long values."""
 
-from stipendia.llm import quality_rules
+import random
+
+from stipendia.llm import induced_sort, quality_rules, suffix_dedup
+from tests.llm.brute import repeated
 
 
 def _letters(i: int) -> str:
@@ -17,3 +20,23 @@ def test_quality_counts_documents(spark):
     assert all(got[i].cleaned == own(i) and got[i].n_removed_words == 9 for i in range(20))
     assert got[100].cleaned == inside and got[100].n_removed_words == 0
     assert all(got[200 + i].n_removed_words == 0 and got[200 + i].kept for i in range(30))
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    rng, sort = random.Random(5), induced_sort.repeats
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, wide = noise(70), noise(45)
+    texts = [f"{noise(150)}{line}{noise(150)}" for _ in range(120)]
+    texts += [f"{noise(90)}{wide if i % 2 else ''}{line}{noise(20) if i % 3 else wide}{noise(90)}" for i in range(60)]
+    texts += texts[:5] + [texts[7][60:260] + noise(30) + texts[7][60:260]]
+    rows = list(enumerate(texts))
+
+    def bounded(text, length):
+        assert len(text) <= 3 * 4096, len(text)
+        return sort(text, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4096)
+    monkeypatch.setattr(suffix_dedup, "repeats", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(docs).collect()}
+    assert got == repeated(rows) and sum(r[1] for r in got.values()) > 3000
