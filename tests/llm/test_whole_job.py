@@ -2,7 +2,9 @@
 
 import random
 
-from stipendia.llm import induced_sort, quality_rules, suffix_dedup
+import pytest
+
+from stipendia.llm import induced_sort, pii, quality_rules, suffix_dedup
 from tests.llm.brute import repeated
 
 
@@ -40,3 +42,12 @@ def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(docs).collect()}
     assert got == repeated(rows) and sum(r[1] for r in got.values()) > 3000
+
+
+@pytest.mark.parametrize("lead,value,tag", [
+    ("", "token=" + "3f9ac07b5d" * 30, "[SECRET]"), ("", "secret: eyJ" + "hbGciOi.JIUzI1-NiIs_" * 40, "[SECRET]"),
+    ("key ", "AKIA" + "MD62HKU6VBLCCCCE" * 4, "[SECRET]"), ("host ", "fead:abcd:beef:cafe:fade:dead:aced:babe", "[IP]")])
+def test_personal_data_whole_values(lead, value, tag):
+    text = f"as said in the line of {lead}{value} and so on"
+    _, spans = pii.find(text, pii.train())
+    assert pii.redact(text, spans) == f"as said in the line of {lead}{tag} and so on"
