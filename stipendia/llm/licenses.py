@@ -1,18 +1,21 @@
 """Licence scans of paragraphs, in DataFrame functions and Spark's own logistic regression.
 
-A paragraph is a line with a word.  Its one- to three-word sequences feed a
-sparse multinomial logistic regression (L1 penalty) whose classes are the
+A paragraph is a stretch of lines with a letter or digit; lines without one,
+blank or of comment marks only, end it.  Its parts are its lines and, over all
+its words without marks and line ends, windows of ``WINDOW`` words every
+``STEP`` words, so that every notice is whole in one of them however it is
+wrapped.  The one- to three-word sequences of a part feed a sparse multinomial logistic regression (L1 penalty) whose classes are the
 licence families and ``unknown``.  The model is fitted on ``TRAINING_ROWS``
 rows that Spark generates from the notices below and from unrelated sentences,
 a fixed number whatever the corpus.  On every fourth row, kept out of the fit,
 a temperature calibrates the probabilities and each family gets the least
 probability that no row of another class reaches there; below it a paragraph
 is unknown.  A prediction counts once a notice of its family is found in the
-paragraph: at least ``CONTAINED`` of the notice's three-word sequences.
+part: at least ``CONTAINED`` of the notice's three-word sequences.
 
-The penalty leaves a few hundred sequences with a weight.  A paragraph without
-a word of any of them scores the intercepts alone, which is the same for all
-such paragraphs, so its sequences are not built.
+The penalty leaves a few hundred sequences with a weight.  A part without a
+word of any of them scores the intercepts alone, which is the same for all such
+parts, so its sequences are not built and one of them stands for a paragraph.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 TRAINING_ROWS = 4_000
 PENALTY = 2e-3
 CONTAINED = 0.6
+WINDOW = 32
+STEP = 8  # a notice of up to WINDOW - STEP + 1 words is whole in a window
 UNKNOWN = "unknown"
 _TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
 
@@ -73,6 +78,11 @@ AROUND = ("the", "and", "of", "copyright", "2019", "2023", "by", "authors", "fil
           "work", "on", "under", "to", "a", "it", "was", "as", "are", "from", "that")
 
 
+# A word at the start of a line that only marks a comment; other marks are no part of any word.
+COMMENT = r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t])"
+PARAGRAPH_END = r"\n[^\p{L}\p{N}]*\n"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and the marks inside licence names."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda w: F.rtrim(F.ltrim(w, F.lit(".-+")), F.lit(".-+")) != "")
@@ -169,14 +179,24 @@ def _chance(score: Column, temperature: float) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph number from 0, family, probability, contained, confirmed) of every line with a word.
+    """(id, row, paragraph number from 0, part, line, family, probability, contained, confirmed) of parts of paragraphs.
 
-    A null or empty text gives one row with a null paragraph, so no document is lost; other columns are not read.
+    ``row`` tells rows with one id apart.  Part 0 of each paragraph is given always, others where a weighted sequence
+    can be.  A null or empty text gives one row with a null ``line``, so no document is lost; other columns are not read.
     """
     spark = docs.sparkSession
     classifier = fit(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n", -1)).alias("paragraph", "line"))
-    rows = rows.withColumn("_low", F.lower(F.coalesce("line", F.lit("")))).withColumn("_anchored", F.col("_low").rlike(any_of(classifier.anchors())))
+    anchored = any_of(classifier.anchors())
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
+                       F.posexplode_outer(F.split(F.regexp_replace(text_col, COMMENT, ""), PARAGRAPH_END, -1)).alias("paragraph", "_text"))
+    rows = rows.withColumn("_text", F.when(F.col("_text").rlike(r"[\p{L}\p{N}]"), F.lower("_text")))
+    rows = rows.withColumn("_all", F.when(F.col("_text").rlike(anchored), trimmed(tokens(F.col("_text")))))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_all") - (WINDOW - STEP + 1), F.lit(0)), F.lit(STEP)),
+                          lambda at: F.array_join(F.slice("_all", at + 1, F.lit(WINDOW)), " "))
+    parts = F.when(F.col("_all").isNotNull(), F.concat(F.split("_text", "\n", -1), windows)).otherwise(F.array("_text"))
+    rows = rows.select("id", "row", "paragraph", F.posexplode(parts).alias("part", "line"))
+    rows = rows.withColumn("_low", F.coalesce("line", F.lit(""))).withColumn("_anchored", F.col("_low").rlike(anchored))
+    rows = rows.where((F.col("part") == 0) | F.col("_anchored"))
     # Without an anchor there is no weighted sequence, so an empty text scores alike.
     scored = classifier.scored(with_sequences(rows, F.when(F.col("_anchored"), F.col("_low")).otherwise("")))
     scored = scored.withColumn("_best", F.array_position("_scores", F.array_max("_scores")).cast("int"))
@@ -184,7 +204,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sure = (F.col("_best") > 1) & (F.col("probability") >= F.element_at(F.array(*map(F.lit, classifier.least)), F.col("_best")))
     scored = scored.withColumn("family", F.when(sure, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("_best"))).otherwise(UNKNOWN))
     scored = scored.withColumn("contained", F.when(F.col("family") != UNKNOWN, _contained(spark)))
-    return scored.select("id", "paragraph", "line", "family", "probability", "contained",
+    return scored.select("id", "row", "paragraph", "part", "line", "family", "probability", "contained",
                          F.coalesce(F.col("contained") >= CONTAINED, F.lit(False)).alias("confirmed"))
 
 
@@ -210,12 +230,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_paragraphs, n_license_paragraphs, n_unconfirmed, families): one row per id.
 
     ``families`` are the confirmed ones in order, joined by commas, empty without any; ``n_unconfirmed`` counts
-    predictions that no notice of the family bears out.  Texts are read whole; a paragraph's result does not depend on
+    paragraphs with predictions of which no notice bears out any.  Texts are read whole; a paragraph's result does not depend on
     others.  Null and empty texts have no paragraphs; rows with the same id are one document; an empty table gives none.
     """
     found = paragraphs(docs, id_col, text_col)
+    place = F.struct("row", "paragraph")
+    known = F.collect_set(F.when(F.col("confirmed"), place))
+    named = F.collect_set(F.when(F.col("family") != UNKNOWN, place))
     return found.groupBy("id").agg(
-        F.count_if(F.coalesce(F.trim("line"), F.lit("")) != "").alias("n_paragraphs"), F.count_if("confirmed").alias("n_license_paragraphs"),
-        F.count_if((F.col("family") != UNKNOWN) & ~F.col("confirmed")).alias("n_unconfirmed"),
+        F.count_if((F.col("part") == 0) & F.col("line").isNotNull()).alias("n_paragraphs"), F.size(known).cast("long").alias("n_license_paragraphs"),
+        F.size(F.array_except(named, known)).cast("long").alias("n_unconfirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
     ).withColumnRenamed("id", id_col)

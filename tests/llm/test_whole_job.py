@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stipendia.llm import induced_sort, pii, quality_rules, suffix_dedup
+from stipendia.llm import induced_sort, licenses, pii, quality_rules, suffix_dedup
 from tests.llm.brute import repeated
 
 
@@ -51,3 +51,17 @@ def test_personal_data_whole_values(lead, value, tag):
     text = f"as said in the line of {lead}{value} and so on"
     _, spans = pii.find(text, pii.train())
     assert pii.redact(text, spans) == f"as said in the line of {lead}{tag} and so on"
+
+
+def test_licenses_of_wrapped_paragraphs(spark):
+    fill = " ".join(_letters(i) for i in range(90))
+    texts = {"# Licensed under the\n# Apache License, Version 2.0.\n#\n# more": ("apache", 2, 1),
+             "This work is licensed under a Creative\nCommons Attribution 4.0 International License.": ("cc-by", 1, 1),
+             " * Permission is hereby\n * granted, free of\n * charge, to any\n * person obtaining\n * a copy of this\n * software": ("mit", 1, 1),
+             f"{fill}\n{fill} Licensed\nunder the MIT\nlicense. {fill}\n\n{fill}": ("mit", 2, 1),
+             f"REM Licensed under the Apache\nREM License, Version 2.0.\n{fill}\nReleased under the\nMIT License.": ("apache,mit", 1, 1),
+             "The driver showed a\nlicense and went on.\n\n \n***\n\nlast": ("", 2, 0)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_paragraphs, r.n_license_paragraphs) for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+    assert max(len(n.split()) for notices in licenses.NOTICES.values() for n in notices) <= licenses.WINDOW - licenses.STEP + 1
