@@ -27,15 +27,10 @@ def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, anchor position, first window, last window, hash of the run's bytes and anchor place) of a text."""
+def _chosen(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash at each place, place of the anchor of each window); ``gram`` is a power of two."""
     n = len(data) - length + 1
-    if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
-    hashes = gram_hashes(data, gram)  # gram is a power of two
+    hashes = gram_hashes(data, gram)
     reach = length - gram + 1  # grams in a window
     bits = np.uint64(max(1, (len(hashes) - 1).bit_length()))
     key = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
@@ -46,6 +41,26 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     if width < reach:
         key = np.minimum(key[:n], key[reach - width:reach - width + n])
     anchor = (key[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return hashes, anchor
+
+
+def places(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Anchor hash of every run of a text, without the work of telling runs apart."""
+    if len(data) < length:
+        return np.zeros(0, np.uint64)
+    hashes, anchor = _chosen(data, length, gram)
+    return hashes[anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])]]
+
+
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor hash, anchor position, first window, last window, hash of the run's bytes and anchor place) of a text."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
+    hashes, anchor = _chosen(data, length, gram)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     last = np.append(first[1:], n) - 1
     at = anchor[first]

@@ -73,6 +73,30 @@ def test_suffix_dedup_planted(spark):
     assert got == brute.repeated(rows)
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    rows = [(i, noise(400)) for i in range(4)]
+    rows += [(9, noise(50) + rows[0][1][100:300] + noise(50))]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(parts)
+        got = [(r.doc, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(docs).collect()]
+        assert sorted(got) == sorted((i, *w) for i, w in brute.repeated(rows).items() for _ in range(3))
+
+
+def test_queues_of_a_whole_shard_go_to_disk():
+    rng = np.random.RandomState(3)
+    text = rng.randint(1, 255, suffix_dedup.SHARD_BYTES).astype(np.uint8)
+    text[6_000_000:6_000_300] = text[2_000_000:2_000_300]
+    text[::90_000] = 0
+    text[-1] = 0
+    shard = induced_sort._Shard(text, 100, induced_sort.repeats.__defaults__[0], induced_sort.repeats.__defaults__[1], True)
+    n = sum(len(places) for places, _ in shard.sorted_suffixes())
+    assert n == np.count_nonzero(text) and shard.spilled > 1_000_000
+    whole = [p for p in range(6_000_000, 6_000_201) if not (text[p:p + 100] == 0).any() and (text[p:p + 100] == text[p - 4_000_000:p - 3_999_900]).all()]
+    assert np.flatnonzero(induced_sort.repeats(text, 100)).tolist() == whole and len(whole) > 90
+
+
 def test_suffix_dedup_odd(odd, empty):
     rows = suffix_dedup.deduplicated(odd, carry=("lang", "words")).collect()
     assert len(rows) == odd.count() and suffix_dedup.deduplicated(empty).count() == 0
