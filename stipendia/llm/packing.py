@@ -9,7 +9,7 @@ A group starts with best fit in falling order of length.  Then the emptiest
 bins are dissolved: a document moves to another bin, or changes places with a
 smaller document of it, or two documents change places with one, whenever that
 raises the sum of squared fills; a bin that gets empty is gone.  The search
-ends when no bin can be saved any more or ``PATIENCE`` bins in a row stayed.
+ends when no bin can be saved any more or a pass over all bins saved none.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from stipendia.llm.common import plain
 from stipendia.llm.tokens import tokenizer
 
 GROUP = 100_000
-PATIENCE = 512
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -62,6 +61,7 @@ class LocalSearch:
         self.bins = {i: list(b) for i, b in enumerate(bins)}
         self.fill = {i: sum(lengths[x] for x in b) for i, b in self.bins.items()}
         self.holding: dict[int, list[tuple[int, int]]] = {}  # length -> sorted (free, bin)
+        self.sizes: list[int] = []                           # the lengths held, sorted
         self.open: list[tuple[int, int]] = []                # sorted (free, bin)
         for i in self.bins:
             self._add(i)
@@ -71,7 +71,10 @@ class LocalSearch:
         if free > 0:
             insort(self.open, (free, i))
             for size in {self.lengths[x] for x in self.bins[i]}:
-                insort(self.holding.setdefault(size, []), (free, i))
+                if size not in self.holding:
+                    self.holding[size] = []
+                    insort(self.sizes, size)
+                insort(self.holding[size], (free, i))
 
     def _drop(self, i: int) -> None:
         free = self.capacity - self.fill[i]
@@ -82,6 +85,7 @@ class LocalSearch:
                 del row[bisect_left(row, (free, i))]
                 if not row:
                     del self.holding[size]
+                    del self.sizes[bisect_left(self.sizes, size)]
 
     def _partner(self, mass: int, fill: int, most: int) -> tuple[int, int] | None:
         """(bin, length taken back) that takes as much of ``mass`` as possible and ends fuller than ``fill``.
@@ -92,12 +96,12 @@ class LocalSearch:
             at = bisect_left(self.open, (mass, -1))
             if at < len(self.open) and self.capacity - self.open[at][0] + mass > fill:
                 return self.open[at][1], 0
-        for gain in range(min(most, mass - 1), 0, -1):
-            row = self.holding.get(mass - gain)
-            if row and row[-1][0] >= gain:
+        for back in self.sizes[bisect_left(self.sizes, mass - most):bisect_left(self.sizes, mass)]:
+            row, gain = self.holding[back], mass - back
+            if row[-1][0] >= gain:
                 free, other = row[bisect_left(row, (gain, -1))]
                 if self.capacity - free + gain > fill:
-                    return other, mass - gain
+                    return other, back
         return None
 
     def _exchange(self, i: int) -> bool:
@@ -105,9 +109,12 @@ class LocalSearch:
         most = self.open[-1][0] if self.open else 0
         if not most:
             return False
-        by_length = sorted(own, key=lambda x: -lengths[x])
-        offers = [[x] for x in by_length]
-        offers += [[a, b] for n, a in enumerate(by_length) for b in by_length[n + 1:]] if len(own) <= 16 else []
+        by_length: dict[int, list[int]] = {}
+        for x in sorted(own, key=lambda x: -lengths[x]):
+            by_length.setdefault(lengths[x], []).append(x)
+        kinds = list(by_length.values())  # which of equally long documents goes makes no difference
+        offers = [k[:1] for k in kinds] + [k[:2] for k in kinds if len(k) > 1]
+        offers += [[a[0], b[0]] for n, a in enumerate(kinds) for b in kinds[n + 1:]]
         for offer in offers:
             mass = sum(lengths[x] for x in offer)
             found = self._partner(mass, self.fill[i], most)
@@ -128,24 +135,24 @@ class LocalSearch:
             return True
         return False
 
-    def run(self, patience: int = PATIENCE) -> list[list[int]]:
+    def run(self) -> list[list[int]]:
         total = sum(self.fill.values())
-        spare = len(self.bins) - -(-total // self.capacity)
-        stayed = 0
-        for i in sorted(self.bins, key=lambda b: (self.fill[b], b)):
-            if spare <= 0 or stayed >= patience:
-                break
-            if self.fill[i] >= self.capacity:
-                continue
-            self._drop(i)
-            while self.bins[i] and self._exchange(i):
-                pass
-            if self.bins[i]:
-                self._add(i)
-                stayed += 1
-            else:
-                del self.bins[i], self.fill[i]
-                spare, stayed = spare - 1, 0
+        spare, saved = len(self.bins) - -(-total // self.capacity), True
+        while spare > 0 and saved:
+            saved = False
+            for i in sorted(self.bins, key=lambda b: (self.fill[b], b)):
+                if spare <= 0:
+                    break
+                if self.fill[i] >= self.capacity:
+                    continue
+                self._drop(i)
+                while self.bins[i] and self._exchange(i):
+                    pass
+                if self.bins[i]:
+                    self._add(i)
+                else:
+                    del self.bins[i], self.fill[i]
+                    spare, saved = spare - 1, True
         return list(self.bins.values())
 
 

@@ -4,7 +4,9 @@ A text is cut where a character that is no white space meets ASCII white space.
 The byte-level pre-split has no match across such a place, so the ids of the
 parts, in order, are the ids of the text.  Parts recur far more often than
 texts; those seen are looked up, the others go through the library in
-batches.  Texts with rarer white space go through it whole.
+batches.  Where white space never meets white space, parts are what stands
+between blanks, and their blank is not written out: such a text is cut by one
+split.  Texts with rarer white space go through the library whole.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ import numpy as np
 from stipendia.llm.common import ODD_SPACE
 
 _PART = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-_REMEMBERED, _LONG, _JOINED = 400_000, 64, 5_000  # parts remembered, longest of them, parts encoded as one
+_MEETING = re.compile(r"[ \t\n\r\f\v]{2}")
+_EXACT = "\x00"  # begins the key of a part without a blank before it, other than a line
+_REMEMBERED, _LONG, _JOINED = 600_000, 64, 5_000  # parts remembered, longest of them, parts encoded as one
 _TOGETHER = 2_000_000                             # characters cut into parts at once
 _BLANKS = " \t\n\r\f\v"
 
@@ -67,23 +71,54 @@ class PartTokenizer:
                 start, size = i + 1, 0
         return out
 
+    @staticmethod
+    def _keys(text: str | None) -> list[str] | None:
+        """The parts of a text as keys: what follows a blank by itself, a line with its line feed, others marked."""
+        if not text:
+            return []
+        if ODD_SPACE.search(text):
+            return None
+        if _EXACT in text or _MEETING.search(text):
+            return [p[1:] if p[0] == " " and p[1:2] != "\n" and p[1:2] != _EXACT else p if p[0] == "\n" else _EXACT + p
+                    for p in _PART.findall(text)]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = _EXACT + keys[0]
+        return keys
+
+    @staticmethod
+    def _part(key: str) -> str:
+        return key[1:] if key[:1] == _EXACT else key if key[:1] == "\n" else " " + key
+
     def _encode_some(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > _REMEMBERED:
             self.known, self.older = {}, self.known
-        cut = [_PART.findall(t) if t and not ODD_SPACE.search(t) else None for t in texts]
-        known, new = self.known, set()
-        for parts in cut:
-            if parts:
-                new.update(set(parts).difference(known))
-        again = new.intersection(self.older)
-        known.update((p, self.older[p]) for p in again)
-        new -= again
-        if new:
-            known.update(self._encode(list(new)))
-        whole = iter(self._whole([t for t, parts in zip(texts, cut) if parts is None and t]))
-        out = [b"".join(map(known.__getitem__, parts)) if parts else next(whole) if t else b"" for t, parts in zip(texts, cut)]
-        for p in [p for p in new if len(p) > _LONG]:
-            del known[p]
+        cut = [self._keys(t) for t in texts]
+        every = [key for keys in cut for key in keys or ()]
+        known = self.known
+        found = list(map(known.get, every))
+        open_places = [i for i, ids in enumerate(found) if ids is None]
+        new = {every[i] for i in open_places}
+        again = {key: self.older[key] for key in new if key in self.older}
+        known.update(again)
+        new.difference_update(again)
+        parts = {self._part(key): key for key in new}
+        empty = parts.pop("", None)
+        if empty is not None:
+            known[empty] = b""
+        for part, ids in self._encode(list(parts)).items():
+            known[parts[part]] = ids
+        for i in open_places:
+            found[i] = known[every[i]]
+        whole = iter(self._whole([t for t, keys in zip(texts, cut) if keys is None]))
+        out, at = [], 0
+        for keys in cut:
+            if keys is None:
+                out.append(next(whole))
+            else:
+                out.append(b"".join(found[at:at + len(keys)]))
+                at += len(keys)
+        for key in [key for key in new if len(key) > _LONG]:
+            del known[key]
         return out
 
 
