@@ -45,11 +45,12 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
                    min_count: int = MIN_COUNT) -> DataFrame:
     """(host, frequent array<long>): hashes of the lines above each host's limit.
 
-    A line is above it if it stands in more than ``max(min_count, share * documents of the host)`` different
-    texts.  Null hosts are one host of their own.
+    A line is above it if it stands in more than ``max(min_count, share * different texts of the host)`` different
+    texts.  Null hosts are one host of their own; null texts are empty ones.
     """
     rows = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = (rows.groupBy("host", F.xxhash64("text").alias("doc")).agg(F.lit(1).alias("one"))
+             .groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")))
     lines = rows.select("host", F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(_line_keys(F.col("text")))).alias("line"))
     counted = (lines.where("line is not null").groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
                .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_count))
@@ -92,9 +93,11 @@ def apply_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text
     for name, column in _repeat_words("_words"):
         rows = rows.withColumn(name, column)
     rows = (rows.withColumn("n_words", F.size("_words").cast("long"))
-            .withColumn("_kept_lines", F.when(F.col("frequent").isNotNull(), F.filter(
+            # One hashed intersection a document; only its few hits are searched line by line.
+            .withColumn("_hits", F.when(F.col("frequent").isNotNull(), F.array_intersect("frequent", _line_keys(F.col("text")))))
+            .withColumn("_kept_lines", F.when(F.size("_hits") > 0, F.filter(
                 F.split("text", "\n", -1),
-                lambda line: ~(line.rlike(WORD) & F.array_contains("frequent", F.xxhash64(normalised(line))))))))
+                lambda line: ~(line.rlike(WORD) & F.array_contains("_hits", F.xxhash64(normalised(line))))))))
     rows = (rows.withColumn("cleaned", F.coalesce(F.array_join("_kept_lines", "\n"), F.col("text")))
             .withColumn("n_removed_words", F.when(F.length("cleaned") < F.length("text"), F.col("n_words")
                                                   - F.size(words_of(F.col("cleaned")))).otherwise(F.lit(0)).cast("long")))
@@ -112,27 +115,26 @@ def apply_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 # The same rules for DuckDB, over whole texts.
 SQL = r"""
-WITH base AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-     w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM base),
-     wp AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
-            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-     again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM wp) WHERE k > 1),
-     rep AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id),
-     ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM base),
-     dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-     nl AS (SELECT doc_id, source, i, l, CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN regexp_replace(trim(translate(lower(l),
+WITH base AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM base),
+     wp AS (SELECT k, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
+            FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+     again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS times FROM wp) WHERE times > 1),
+     rep AS (SELECT k, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY k),
+     ln AS (SELECT k, source, t, unnest(string_split(t, chr(10))) AS l FROM base),
+     dup AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
+     nl AS (SELECT k, source, t, l, CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN regexp_replace(trim(translate(lower(l),
               '0123456789' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '0000000000     '), ' '), ' {2,}', ' ', 'g') END AS line FROM ln),
-     ctx AS (SELECT source, line, lag(line) OVER w AS p, lead(line) OVER w AS f FROM nl WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-     cnt AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, line, p, f FROM ctx WHERE line IS NOT NULL) GROUP BY ALL),
-     hosts AS (SELECT source, count(*) AS n_docs FROM base GROUP BY source),
+     cnt AS (SELECT source, line, count(DISTINCT t) AS n FROM nl WHERE line IS NOT NULL GROUP BY ALL),
+     hosts AS (SELECT source, count(DISTINCT t) AS n_docs FROM base GROUP BY source),
      freq AS (SELECT cnt.source, line FROM cnt JOIN hosts ON cnt.source IS NOT DISTINCT FROM hosts.source
               WHERE n > 10 AND n > n_docs * 0.02),
-     gone AS (SELECT doc_id, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS n FROM nl JOIN freq
-              ON nl.source IS NOT DISTINCT FROM freq.source AND nl.line = freq.line GROUP BY doc_id),
+     gone AS (SELECT k, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS n FROM nl JOIN freq
+              ON nl.source IS NOT DISTINCT FROM freq.source AND nl.line = freq.line GROUP BY k),
      r AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
                   coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed
-           FROM base JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+           FROM base JOIN w USING (k) LEFT JOIN dup USING (k) LEFT JOIN rep USING (k) LEFT JOIN gone USING (k))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * removed <= n_words AS kept

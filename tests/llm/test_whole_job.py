@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyarrow import parquet
 
 from stipendia.llm import induced_sort, licenses, pii, quality_rules, suffix_dedup
+from stipendia.llm.queries import QUERIES, SQL
+from tests.compare import connect, difference
 from tests.llm.brute import repeated
 
 
@@ -24,6 +27,22 @@ def test_quality_counts_documents(spark):
     assert all(got[200 + i].n_removed_words == 0 and got[200 + i].kept for i in range(30))
 
 
+def test_quality_statement_counts_texts(spark, tmp_path):
+    """The checking SQL and the operator on tables that tell counting texts, rows and surroundings apart."""
+    own = lambda i: " ".join(_letters(i) + _letters(k) for k in range(60))
+    long_header = "\n".join(" ".join(f"{_letters(900 + k)}{w}" for w in range(30)) for k in range(3))
+    rows = [(i, f"{long_header}\n{own(i)}", "blocks") for i in range(40)]                          # depleted: 90 of 150 words
+    rows += [(100 + i, f"{own(100 + i % 12)}\n{own(800)}\n{own(801)}", "copies") for i in range(900)]  # 12 texts, 900 rows
+    rows += [(2000 + i, f"{own(200 + i)}\n{own(300)}\n{own(311 + i)}\n{own(302)}", "few") for i in range(10)]
+    rows += [(3000, "\n".join(f"{own(400 + k)}\n{own(500)}" for k in range(30)), "one"), (3001, None, None), (3002, None, "one"), (None, own(1), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parquet.write_table(docs.toArrow(), f"{tmp_path}/documents.parquet")
+    df = QUERIES["op3_quality_rules"](spark, str(tmp_path))
+    assert difference(df, connect(str(tmp_path)), SQL["op3_quality_rules"]) is None
+    kept = {r.doc_id: r.kept for r in df.collect()}
+    assert not any(kept[i] for i in range(40)) and not any(kept[100 + i] for i in range(900)) and all(kept[2000 + i] for i in range(10)) and kept[3000]
+
+
 def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
     rng, sort = random.Random(5), induced_sort.repeats
     noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
