@@ -37,7 +37,7 @@ from stipendia.llm.induced_sort import repeats
 from stipendia.llm.shingles import mixed
 
 LENGTH = anchors.LENGTH
-SHARD_BYTES = 8 << 20  # anchor groups are sorted together up to this size; no group is larger
+SHARD_BYTES = 4 << 20  # anchor groups are sorted together up to this size; no group is larger
 
 
 def _texts(source: DataFrame) -> DataFrame:
