@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stipendia.operators.frames import RULE_ROWS
+from stipendia.operators.frames import with_each_rule
 
 OVERRIDES = ["rule_status", "jurisdiction", "portal", "academic_year", "source_url"]
 
@@ -43,18 +43,14 @@ TOPICS = [
 def generated_questions(states: DataFrame, categories: DataFrame, courses: DataFrame) -> DataFrame:
     """One question per state, category, course and topic.
 
-    Each input has one column ``name``.  The lists are measured and inlined as
-    arrays, then exploded from a single row per state, so nothing is shuffled.
+    Each input has one column ``name``; lists of any length are met chunk by chunk (``frames.with_each_rule``).
     """
-    def inlined(df: DataFrame):
-        if df.limit(RULE_ROWS + 1).count() > RULE_ROWS:
-            raise ValueError("a dimension of the question corpus has to be a short list")
-        return df.agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
-
     topics = F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(f).alias("form")) for t, f in TOPICS])
-    rows = (states.select(F.col("name").alias("state")).distinct()
-            .withColumn("category", F.explode(inlined(categories))).withColumn("course", F.explode(inlined(courses)))
-            .withColumn("t", F.explode(topics)))
+    named = (lambda df: df.where("name is not null").select("name").distinct())
+    rows = named(states).select(F.col("name").alias("state"))
+    for column, names in (("category", categories), ("course", courses)):
+        rows = with_each_rule(rows, named(names), "_each").withColumn(column, F.col("_each.name")).drop("_each")
+    rows = rows.withColumn("t", F.explode(topics))
     low = (lambda c: F.lower(F.col(c)))
     return rows.select("state", "category", "course", F.col("t.topic").alias("topic"), F.format_string(
         "%s %s %s %s scholarship", F.regexp_replace("t.form", " %s %s %s scholarship$", ""), low("state"), low("category"),

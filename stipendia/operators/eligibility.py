@@ -7,16 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stipendia.functions import lexicon
 from stipendia.functions.scalars import first_case, is_true, kept, not_equal_or_missing, percent, present
 from stipendia.functions.values import accepts_community, restricted
-from stipendia.operators.frames import balanced, count_if, top_per_key, with_each_rule
+from stipendia.operators import rule_index
+from stipendia.operators.frames import count_if, top_per_key, with_each_rule
 
 CONFIRMED, POTENTIAL = "CONFIRMED MATCH", "POTENTIAL MATCH"
 NEEDS_INFO, NOT_MATCHED = "NEEDS MORE INFORMATION", "NOT MATCHED"
 ORDER = {CONFIRMED: 3, POTENTIAL: 2, NEEDS_INFO: 1, NOT_MATCHED: 0}
 
-# Communities for which an admission quota matters.
-QUOTA_COMMUNITIES = ["BC", "MBC", "DNC", "DNT"]
-
-
 def _criterion(name: str, applies: Column, unknown: Column, failed: Column, required: Column,
                actual: Column) -> Column:
     """One criterion as struct, NULL when the scheme does not ask for it.
@@ -46,9 +43,8 @@ def criteria(student: str = "student", scheme: str = "scheme") -> Column:
     lower_differs = (lambda c: F.lower(s(c)) != F.lower(p(c)))
     unset = (lambda c: ~present(p(c)) | (p(c) == "All"))
     quota = F.lower(F.coalesce(p("quota_type"), F.lit("unknown")))
-    bc_family = is_true(F.upper(p("category")).isin(QUOTA_COMMUNITIES))
-    occupation = F.when(p("agri_labor").isNull() & p("parent_occupation").isNotNull(), F.lit(True)).otherwise(
-        p("agri_labor"))
+    bc_family = is_true(F.upper(p("category")).isin(rule_index.QUOTA_COMMUNITIES))
+    occupation = rule_index.occupation(p("agri_labor"), p("parent_occupation"))
     listed = [
         _criterion("gender", restricted(s("gender"), "All"), unset("gender"), s("gender") != p("gender"),
                    s("gender"), p("gender")),
@@ -104,10 +100,14 @@ def evaluate(pairs: DataFrame) -> DataFrame:
         count("NEEDS_INFO").alias("missing"), "criteria")
 
 
+def open_matches(students: DataFrame, schemes: DataFrame) -> DataFrame:
+    """The pairs of student and scheme that no criterion refuses, found through the rule index."""
+    return evaluate(rule_index.open_pairs(students, schemes))
+
+
 def match_all(students: DataFrame, schemes: DataFrame) -> DataFrame:
-    """Every student against every scheme of the (measured, small) catalogue."""
-    packed = balanced(students).select(F.struct("*").alias("student"))
-    return evaluate(with_each_rule(packed, schemes, "scheme"))
+    """Every student against every scheme, refusals with their reasons included; for students or schemes asked about."""
+    return evaluate(with_each_rule(students.select(F.struct("*").alias("student")), schemes, "scheme"))
 
 
 def ranked_schemes(matches: DataFrame, n: int, kinds: list[str]) -> DataFrame:
@@ -117,10 +117,15 @@ def ranked_schemes(matches: DataFrame, n: int, kinds: list[str]) -> DataFrame:
                        [weight.desc(), F.col("score").desc(), F.col("scheme_id")], n)
 
 
-def match_groups(matches: DataFrame, by: str = "scheme_id") -> DataFrame:
-    group = first_case([(F.col("match_type").isin(CONFIRMED, POTENTIAL), "confirmed_or_potential"),
-                        (F.col("match_type") == NEEDS_INFO, "needs_information")], "not_matched")
-    return matches.groupBy(by, group.alias("match_group")).agg(F.count(F.lit(1)).alias("pairs"))
+def match_groups(matches: DataFrame, students: DataFrame, schemes: DataFrame) -> DataFrame:
+    """Pairs by outcome group and scheme.  The refused pairs are not formed: they are what the others leave of all."""
+    group = F.when(F.col("match_type") == NEEDS_INFO, "needs_information").otherwise("confirmed_or_potential")
+    found = matches.where(F.col("match_type") != NOT_MATCHED).groupBy("scheme_id", group.alias("match_group")).agg(
+        F.count(F.lit(1)).alias("pairs"))
+    everyone = students.agg(F.count(F.lit(1)).alias("n")).scalar()
+    left = schemes.select("scheme_id").join(found.groupBy("scheme_id").agg(F.sum("pairs").alias("open")), "scheme_id", "left").select(
+        "scheme_id", F.lit("not_matched").alias("match_group"), (everyone - F.coalesce("open", F.lit(0))).alias("pairs"))
+    return found.unionByName(left.where("pairs > 0"))
 
 
 # Communities counted as minority by the simple matcher.

@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# A rule table is inlined per row only while it is proven to be this small.
-RULE_ROWS = 2_000
+# Rules that travel together in one row.
+RULE_CHUNK = 1_000
 # Copies of the small side when a join has to be spread by hand.
 FRAGMENTS = 32
 
@@ -56,23 +56,17 @@ def share_of_total(df: DataFrame, count: str, name: str = "share") -> DataFrame:
 
 
 def with_each_rule(df: DataFrame, rules: DataFrame, name: str = "rule") -> DataFrame:
-    """Every row next to every row of a rule table.
+    """Every row next to every row of a rule table, in one plan for tables of any size.
 
-    The rule table is measured first.  Up to ``RULE_ROWS`` rows it becomes one
-    array (a scalar subquery) that is exploded in place: no shuffle of the big
-    side.  A larger table is cut into fragments that are met by an equi-join,
-    with the big side spread over a salt so that no task holds a whole fragment.
+    Rules are dealt into chunks of about ``RULE_CHUNK``, each one row with an array.  Rows meet the chunks by an
+    equi-join, which Spark broadcasts while the table is small, and the arrays are opened behind it.
     """
     packed = rules.select(F.struct("*").alias(name))
-    if rules.limit(RULE_ROWS + 1).count() <= RULE_ROWS:
-        all_rules = packed.agg(F.collect_list(name).alias("all")).scalar()
-        return df.withColumn("_rules", all_rules).withColumn(name, F.explode("_rules")).drop("_rules")
-    parts = F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))
-    left = (df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(FRAGMENTS)))
-            .withColumn("_part", F.explode(parts)))
-    right = (packed.withColumn("_part", F.pmod(F.xxhash64(F.to_json(name)), F.lit(FRAGMENTS)))
-             .withColumn("_salt", F.explode(parts)))
-    return left.join(right, ["_part", "_salt"]).drop("_part", "_salt")
+    chunks = rules.agg(F.ceil(F.count(F.lit(1)) / RULE_CHUNK).cast("int").alias("n")).scalar()
+    dealt = packed.withColumn("_chunk", F.pmod(F.xxhash64(F.to_json(name)), chunks).cast("int")).groupBy("_chunk").agg(
+        F.collect_list(name).alias("_rules"))
+    rows = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.greatest(chunks - 1, F.lit(0)))))
+    return rows.join(dealt, "_chunk").withColumn(name, F.explode("_rules")).drop("_rules", "_chunk")
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str],

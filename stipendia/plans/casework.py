@@ -303,15 +303,22 @@ matches AS (SELECT student_id, scheme_id, match_type, failed, missing, match_typ
 
 
 def _matches(t):
-    return eligibility.match_all(t.profiles, t.schemes)
+    return eligibility.open_matches(t.profiles, t.schemes)
 
 
 @query("scheme_matches", "JOI-09 RUL-01 RUL-02 RUL-03 RUL-04 SRC-07",
-       f"WITH {_MATCH} SELECT student_id, scheme_id, match_type, score, eligible, failed, missing FROM matches")
+       f"WITH {_MATCH} SELECT student_id, scheme_id, match_type, score, eligible, failed, missing FROM matches"
+       " WHERE match_type <> 'NOT MATCHED'")
 def _(t):
     return _matches(t).drop("criteria")
 
 
+@query("pair_outcomes", "JOI-09 RUL-02",
+       f"WITH {_MATCH} SELECT student_id, scheme_id, match_type, score, eligible, failed, missing FROM matches")
+def _(t):
+    return eligibility.match_all(t.profiles, t.schemes).drop("criteria")
+
+
 @query("criteria_outcomes", "RUL-01", f"""
 WITH {_MATCH}, k AS (SELECT *, unnest(['gender', 'income', 'category', 'state', 'district', 'course', 'disability',
  'government_school', 'parent_occupation', 'armed_forces', 'first_graduate', 'admission_quota']) AS criterion,
@@ -319,7 +326,8 @@ WITH {_MATCH}, k AS (SELECT *, unnest(['gender', 'income', 'category', 'state',
 SELECT scheme_id, criterion, CASE code WHEN 0 THEN 'PASSED' WHEN 1 THEN 'FAILED' ELSE 'NEEDS_INFO' END AS status,
  count(*) AS students FROM k WHERE code IS NOT NULL GROUP BY 1, 2, 3""")
 def _(t):
-    rows = _matches(t).select("scheme_id", F.inline_outer("criteria")).where(F.col("criterion").isNotNull())
+    rows = eligibility.match_all(t.profiles, t.schemes).select("scheme_id", F.inline_outer("criteria")).where(
+        F.col("criterion").isNotNull())
     return rows.groupBy("scheme_id", "criterion", "status").agg(
         F.count(F.lit(1)).alias("students"))
 
@@ -337,7 +345,7 @@ WITH {_MATCH} SELECT scheme_id, CASE WHEN match_type IN ('CONFIRMED MATCH', 'POT
  WHEN match_type = 'NEEDS MORE INFORMATION' THEN 'needs_information' ELSE 'not_matched' END AS match_group,
  count(*) AS pairs FROM matches GROUP BY 1, 2""")
 def _(t):
-    return eligibility.match_groups(_matches(t))
+    return eligibility.match_groups(_matches(t), t.profiles, t.schemes)
 
 
 _SIMPLE = [("pms-sc", ["SC"], 250000, ["ug", "pg", "diploma"], None),

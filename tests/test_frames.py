@@ -37,7 +37,7 @@ def test_exact_median(spark):
 def test_rule_table_beyond_the_bound(spark, monkeypatch):
     rows, rules = spark.range(40).toDF("a"), spark.range(25).select(F.col("id").alias("b"))
     small = {(r.a, r.rule.b) for r in frames.with_each_rule(rows, rules).collect()}
-    monkeypatch.setattr(frames, "RULE_ROWS", 5)
+    monkeypatch.setattr(frames, "RULE_CHUNK", 5)
     large = [(r.a, r.rule.b) for r in frames.with_each_rule(rows, rules).collect()]
     assert len(large) == len(small) == 1000 and set(large) == small
 

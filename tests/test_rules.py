@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from stipendia.functions.scalars import as_instant
@@ -44,6 +46,36 @@ def test_eligibility(spark):
     assert {c.criterion for c in reason} == {"income", "category", "state", "district", "course"} and all(c.reason for c in reason)
 
 
+def test_rule_index_equals_all_pairs(spark):
+    """Every pair that no criterion refuses, and no other, for more schemes than one bit set holds."""
+    rnd = random.Random(11)
+    yes_no = [True, False, None]
+    words = dict(gender=["Girls", "Boys", "All", "", None], category=["BC", "bc", "MBC", "DNC", "SC", "General", "", None], income=[None, 0, 99, 100, 101, 5000, 10**9],
+                 state=["Tamil Nadu", "KERALA", "All", None, ""], district=["Salem", "salem", "All", "Chennai", None], course=["Engineering", "ARTS", "All", None],
+                 quota_type=["government", "Management", "unknown", None], parent_occupation=["farmer", None])
+    people = [profile(f"p{i}", **{k: rnd.choice(v) for k, v in words.items()}, disabled=rnd.choice(yes_no), govt_school=rnd.choice(yes_no),
+                      agri_labor=rnd.choice(yes_no), armed_forces=rnd.choice(yes_no), first_graduate=rnd.choice(yes_no)) for i in range(60)]
+    rare = lambda: rnd.random() < 0.2
+    schemes = [scheme(f"s{i:03}", gender=rnd.choice(["All", "Girls", "Boys", None]), income_limit=rnd.choice([99999999, 100, 0, 5000, None]),
+                      category=rnd.choice(["All", "all", "ALL", "BC", "OBC", "sc", "General", None]), state=rnd.choice(["All", "All-India", "tamil nadu", "Kerala", None]),
+                      district=rnd.choice(["All", "All", "Salem", None]), course=rnd.choice(["All", "All", "engineering"]), d=rare(), g=rare(), a=rare(), f=rare(),
+                      first=rare(), quota=rare(), pot=rare()) for i in range(150)]
+    people, schemes = spark.createDataFrame(people * 2, PROFILE), spark.createDataFrame(schemes, SCHEME)
+    every = [tuple(r) for r in eligibility.match_all(people, schemes).collect()]
+    found = [tuple(r) for r in eligibility.open_matches(people, schemes).collect()]
+    assert sorted(map(str, found)) == sorted(str(r) for r in every if r[2] != "NOT MATCHED") and 500 < len(found) < len(every) / 2
+    for empty in (people.limit(0), schemes), (people, schemes.limit(0)):
+        assert eligibility.open_matches(*empty).count() == 0
+
+
+def test_plans_start_no_job(spark):
+    people, schemes = spark.createDataFrame([profile("a")], PROFILE), spark.createDataFrame([scheme("s")], SCHEME)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    eligibility.open_matches(people, schemes)
+    eligibility.match_all(people, schemes)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+
+
 def test_upload_labels(spark):
     rows = [("Class 12 Marksheet", "twelfth", True), ("Aadhaar Card", "aadhar", True), ("Bank Passbook", "income", False),
             ("College Bonafide Certificate", "admission", True), ("OBC Certificate", "caste", True)]
