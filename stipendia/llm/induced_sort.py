@@ -289,7 +289,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     return np.argsort(rank)
 
 
-def repeats(text: np.ndarray, length: int, memory: int = 1 << 19, small: int = 1 << 22) -> np.ndarray:
+def repeats(text: np.ndarray, length: int, memory: int = 1 << 17, small: int = 1 << 22) -> np.ndarray:
     """For a shard of bytes (1 to 254, strings closed by 0): True where the ``length`` bytes from a place also start
     at an earlier place of the shard."""
     found = np.zeros(len(text), bool)
