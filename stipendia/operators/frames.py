@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DateType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
 # Rules that travel together in one row.
 RULE_CHUNK = 1_000
@@ -84,29 +85,52 @@ def count_if(cond: Column, name: str) -> Column:
     return F.count_if(cond).alias(name)
 
 
-def zero_filled(df: DataFrame, *columns: str) -> DataFrame:
-    return df.fillna(0, list(columns))
-
-
 # The published limit of one page.
 PAGE_ROWS = 100
+# Stretches of the key that a page is looked up in.
+STRETCHES = 10_000
+
+
+def _checked(size: int, most: int) -> None:
+    if not 1 <= size <= most:
+        raise ValueError(f"a page has 1 to {most} rows, not {size}")
+
 
+def page(df: DataFrame, order: list[Column], number: int | Column, size: int, key: Column | None = None,
+         most: int = PAGE_ROWS) -> DataFrame:
+    """One page with the total and page count.  A size outside 1..``most`` is an error, never a shorter page.
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page with the total and page count.  A size outside 1..``PAGE_ROWS`` is an error, never a shorter page."""
-    if not 1 <= size <= PAGE_ROWS:
-        raise ValueError(f"a page has 1 to {PAGE_ROWS} rows, not {size}")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    With ``key``, a number that rises along ``order``, a page costs the same wherever it lies: rows are counted per
+    stretch of the key (``STRETCHES`` of equal width, one row each), running totals name the stretches that the page
+    falls into, and only their rows are sorted.  The total comes from the same counts.  Rows without a key come first.
+    The number may then be a column, as of a scalar subquery.
+    Without ``key`` the rows in front of the page are sorted with it, which suits the first pages.
+    """
+    _checked(size, most)
+    offset = (F.greatest(F.lit(1), number) - 1) * size if isinstance(number, Column) else (max(1, number) - 1) * size
+    if key is None:
+        total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        rows = df.orderBy(*order).offset(offset).limit(size)
+    else:
+        value = key.cast("double")
+        least, greatest = (df.agg(f(value).alias("x")).scalar() for f in (F.min, F.max))
+        stretch = F.coalesce(F.width_bucket(value, least, greatest + 1, F.lit(STRETCHES)), F.lit(0))
+        counts = df.select(stretch.alias("_stretch")).groupBy("_stretch").agg(F.count(F.lit(1)).alias("_n"))
+        total = F.coalesce(counts.agg(F.sum("_n").alias("n")).scalar(), F.lit(0))
+        upto = W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        met = placed.where((F.col("_before") < offset + size) & (F.col("_before") + F.col("_n") > offset)).drop("_n")
+        place = F.row_number().over(W.partitionBy("_stretch").orderBy(*order)) + F.col("_before")
+        rows = df.withColumn("_stretch", stretch).join(met, "_stretch").withColumn("_place", place).where(
+            (F.col("_place") > offset) & (F.col("_place") <= offset + size)).select(*df.columns).orderBy(*order)
     return rows.withColumn("total", total).withColumn(
         "pages", F.ceil(F.col("total") / F.lit(float(size))).cast("long"))
 
 
-def page_after(df: DataFrame, key: str, last_key, size: int) -> DataFrame:
+def page_after(df: DataFrame, key: str, last_key, size: int, most: int = PAGE_ROWS) -> DataFrame:
     """Keyset page: the filter reaches the scan, no rows are skipped one by one."""
+    _checked(size, most)
     rows = df if last_key is None else df.where(F.col(key) > F.lit(last_key))
-    if not 1 <= size <= PAGE_ROWS:
-        raise ValueError(f"a page has 1 to {PAGE_ROWS} rows, not {size}")
     return rows.orderBy(key).limit(size)
 
 
@@ -119,58 +143,66 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str
 
 # --- sequences inside a key ----------------------------------------------------------------------
 
-# A key with more rows than this is numbered across tasks instead of in one window.
-HOT_KEY_ROWS = 1_000_000
+def stretch_of(df: DataFrame, first: Column) -> Column:
+    """Days of a date or time, stretches of 1024 of a number: a cut that follows from the value alone.
+
+    Values of other types are a stretch each.
+    """
+    kind = df.select(first.alias("x")).schema["x"].dataType
+    if isinstance(kind, IntegralType):
+        return F.shiftright(first.cast("long"), 10)
+    if isinstance(kind, NumericType):
+        return F.floor(first / 1024)
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.to_date(first)
+    return first
+
+
+def _by_stretch(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows with ``_group``, their key and the stretch of their first order column; null keys are keys too."""
+    return df.withColumn("_group", F.struct(F.struct(*keys).alias("key"), stretch_of(df, order[0]).alias("stretch")))
 
 
-def has_hot_key(df: DataFrame, keys: list[str], rows: int) -> bool:
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > rows
+def _along_key():
+    return W.partitionBy("_group.key").orderBy("_group.stretch")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "seq",
-             hot_rows: int | None = None) -> DataFrame:
-    """``row_number`` per key that stays exact and spread when one key dominates.
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "seq") -> DataFrame:
+    """``row_number`` per key by a scan in two levels, so that a key with all rows spans many tasks.
 
-    Ordinary keys use a window.  Otherwise the rows are range-partitioned by
-    key and order (so a large key spans many tasks), numbered inside their
-    range, and shifted by the rows of the key in earlier ranges.  The ranged
-    rows are written to the checkpoint folder first, because both branches must
-    see the same range borders.  ``order`` has to end in a unique column.
+    Rows are numbered inside a stretch of their key (``stretch_of`` the first order column), and shifted by the rows of
+    earlier stretches, of which there is one row each.  One plan for every input, without a job while it is built.
+    ``order`` holds ascending columns and ends in a unique one.
     """
-    if not has_hot_key(df, keys, HOT_KEY_ROWS if hot_rows is None else hot_rows):
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    from stipendia.session import durable
-    columns = df.columns
-    ranged = durable(df.repartitionByRange(*[F.col(k) for k in keys], *order)
-                     .withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_range", *keys).orderBy(*order)))
-    same = reduce(lambda a, b: a & b, [local[k].eqNullSafe(shifts[k]) for k in keys + ["_range"]])
-    return local.join(shifts, same).select(
-        *[local[c] for c in columns], (F.col("_local") + F.col("_shift")).cast("int").alias(name))
+    rows = _by_stretch(df, keys, order)
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = sizes.select("_group", F.coalesce(F.sum("_n").over(_along_key().rowsBetween(W.unboundedPreceding, -1)),
+                                               F.lit(0)).alias("_shift"))
+    local = rows.withColumn("_local", F.row_number().over(W.partitionBy("_group").orderBy(*order)))
+    return local.join(shifts, "_group").select(*df.columns, (F.col("_local") + F.col("_shift")).cast("int").alias(name))
 
 
 def with_neighbours(df: DataFrame, keys: list[str], order: list[Column], previous: dict[str, str],
-                    following: dict[str, str], hot_rows: int | None = None) -> DataFrame:
-    """Values of the previous and the following row of the same key.
+                    following: dict[str, str]) -> DataFrame:
+    """Values of the previous and the following row of the same key, by the same scan in two levels.
 
-    ``previous`` and ``following`` map a source column to its new name.
+    ``previous`` and ``following`` map a source column to its new name.  Inside a stretch the neighbours are next to a
+    row; the first and the last row of a stretch take them from the border rows of the stretches around it.
     """
-    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    if not has_hot_key(df, keys, limit):
-        w = W.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(c).over(w).alias(n) for c, n in previous.items()],
-                         *[F.lead(c).over(w).alias(n) for c, n in following.items()])
-    rows = numbered(df, keys, order, "_seq", hot_rows)
-    for mapping, step in ((previous, 1), (following, -1)):
-        if mapping:
-            other = rows.select(*keys, (F.col("_seq") + step).alias("_seq"),
-                                *[F.col(c).alias(n) for c, n in mapping.items()])
-            rows = rows.join(other, [*keys, "_seq"], "left")
-    return rows.drop("_seq").select(*df.columns, *previous.values(), *following.values())
+    rows = _by_stretch(df, keys, order)
+    inside = W.partitionBy("_group").orderBy(*order)
+    place = F.struct(*order)
+    ends = (lambda pick, columns: pick(F.struct(F.lit(1).alias("_one"), *columns), place))
+    borders = rows.groupBy("_group").agg(ends(F.max_by, previous).alias("_last"), ends(F.min_by, following).alias("_first"))
+    borders = borders.select("_group", F.lag("_last").over(_along_key()).alias("_last"), F.lead("_first").over(_along_key()).alias("_first"))
+    local = rows.select("*", F.lag(F.lit(1)).over(inside).alias("_has_lag"), F.lead(F.lit(1)).over(inside).alias("_has_lead"),
+                        *[F.lag(c).over(inside).alias(f"_lag_{i}") for i, c in enumerate(previous)],
+                        *[F.lead(c).over(inside).alias(f"_lead_{i}") for i, c in enumerate(following)])
+    taken = [F.when(F.col("_has_lag").isNotNull(), F.col(f"_lag_{i}")).otherwise(F.col(f"_last.{c}")).alias(n)
+             for i, (c, n) in enumerate(previous.items())]
+    taken += [F.when(F.col("_has_lead").isNotNull(), F.col(f"_lead_{i}")).otherwise(F.col(f"_first.{c}")).alias(n)
+              for i, (c, n) in enumerate(following.items())]
+    return local.join(borders, "_group").select(*df.columns, *taken)
 
 
 def exact_median(df: DataFrame, group: list[str], value: str, width: int, name: str = "median") -> DataFrame:

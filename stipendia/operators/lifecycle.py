@@ -55,10 +55,10 @@ EXTERNAL_STATUSES = ["SUBMITTED", "UNDER_VERIFICATION", "DEFICIENCY", "VERIFIED"
 
 # --- history ------------------------------------------------------------------------------------
 
-def status_steps(history: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def status_steps(history: DataFrame) -> DataFrame:
     """Every event with the status before it and the seconds until the next one."""
     rows = with_neighbours(history, ["application_id"], [F.col("changed_at"), F.col("history_id")],
-                           {"new_status": "previous_status"}, {"changed_at": "next_at"}, hot_rows)
+                           {"new_status": "previous_status"}, {"changed_at": "next_at"})
     return rows.withColumn("dwell_seconds", seconds_between(F.col("changed_at"), F.col("next_at"))).drop("next_at")
 
 
@@ -112,13 +112,13 @@ def current_state(history: DataFrame) -> DataFrame:
                      ["new_status", "changed_at", "history_id"])
 
 
-def document_versions(documents: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def document_versions(documents: DataFrame) -> DataFrame:
     """Version number of every upload and whether a later one replaced it.
 
     Prior versions stay as rows; each knows the version that followed it.
     """
     rows = numbered(documents, ["application_id", "document_type"],
-                    [F.col("processed_at"), F.col("verification_id")], "version", hot_rows)
+                    [F.col("processed_at"), F.col("verification_id")], "version")
     last = rows.groupBy("application_id", "document_type").agg(F.max("version").alias("versions"))
     out = rows.join(last, ["application_id", "document_type"])
     return out.withColumn("is_current", F.col("version") == F.col("versions"))

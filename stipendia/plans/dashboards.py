@@ -401,7 +401,19 @@ SELECT application_id, application_status, (SELECT count(*) FROM f) AS total,
  CAST(ceil((SELECT count(*) FROM f) / 25.0) AS BIGINT) AS pages FROM f ORDER BY application_id DESC LIMIT 25 OFFSET 50""")
 def _(t):
     rows = filters.by_params(t.apps_raw, application_status="PAID").select("application_id", "application_status")
-    return page(rows, [F.col("application_id").desc()], 3, 25)
+    return page(rows, [F.col("application_id").desc()], 3, 25, key=-F.col("application_id"))
+
+
+@query("deep_page", "SRT-03", """
+WITH f AS (SELECT payment_id, instalment, paid FROM payments_raw), n AS (SELECT count(*) AS total FROM f)
+SELECT payment_id, instalment, CAST(paid AS DOUBLE) AS paid, total, CAST(ceil(total / 100.0) AS BIGINT) AS pages
+FROM (SELECT *, row_number() OVER (ORDER BY payment_id, instalment) AS rn FROM f), n
+WHERE rn > (CAST(floor(total / 200.0) AS BIGINT) - 1) * 100 AND rn <= CAST(floor(total / 200.0) AS BIGINT) * 100""")
+def _(t):
+    """The page in the middle of all payments."""
+    rows = t.payments_raw.select("payment_id", "instalment", F.col("paid").cast("double").alias("paid"))
+    middle = rows.agg(F.floor(F.count(F.lit(1)) / 200).alias("n")).scalar()
+    return page(rows, [F.col("payment_id"), F.col("instalment")], middle, 100, key=F.col("payment_id"))
 
 
 @query("keyset_page", "SRT-03", """

@@ -1,7 +1,7 @@
 import random
 import statistics
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from stipendia.operators import consistency, frames, lifecycle
 
@@ -12,17 +12,42 @@ def events(spark):
     return spark.createDataFrame(rows, "key string, at int, id int")
 
 
-def test_numbered_spread_equals_window(spark):
-    order = [F.col("at"), F.col("id")]
-    plain = frames.numbered(events(spark), ["key"], order).collect()
-    spread = frames.numbered(events(spark), ["key"], order, hot_rows=10).collect()
-    assert {(r.id, r.seq) for r in plain} == {(r.id, r.seq) for r in spread}
+def shapes(spark):
+    """Many keys with a hot one, one key with all rows, null keys and null order, times, no rows."""
+    rows = events(spark)
+    times = rows.select(F.when(F.col("key") != "k1", F.col("key")).alias("key"), F.when(F.col("at") > 5, F.timestamp_seconds(F.col("at") * 50_000)).alias("at"), "id")
+    return [rows, rows.withColumn("key", F.lit("one")).withColumn("at", F.col("at") * 700), times, rows.limit(0)]
 
 
-def test_neighbours_spread_equals_window(spark):
-    args = (["key"], [F.col("at"), F.col("id")], {"id": "before"}, {"at": "after"})
-    plain = {tuple(r) for r in frames.with_neighbours(events(spark), *args).collect()}
-    assert plain == {tuple(r) for r in frames.with_neighbours(events(spark), *args, hot_rows=10).collect()}
+def test_numbered_equals_window(spark):
+    for df in shapes(spark):
+        order = [F.col("at"), F.col("id")]
+        plain = df.withColumn("seq", F.row_number().over(W.partitionBy("key").orderBy(*order)))
+        assert sorted(map(str, frames.numbered(df, ["key"], order).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_neighbours_equal_window(spark):
+    for df in shapes(spark):
+        order, w = [F.col("at"), F.col("id")], W.partitionBy("key").orderBy("at", "id")
+        plain = df.select("*", F.lag("id").over(w).alias("before"), F.lead("at").over(w).alias("after"))
+        got = frames.with_neighbours(df, ["key"], order, {"id": "before"}, {"at": "after"}).collect()
+        assert sorted(map(str, got)) == sorted(map(str, plain.collect()))
+        assert frames.with_neighbours(df, ["key"], order, {}, {"id": "next"}).count() == len(got)
+
+
+def test_pages_equal_sorted_rows(spark):
+    rnd = random.Random(9)
+    values = [None] * 3 + [rnd.choice([7, rnd.randrange(10**9), -rnd.randrange(50)]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v long")
+    for sign in (1, -1):
+        first = (lambda v: (v is not None, sign * (v or 0)))
+        ranked = sorted(range(len(values)), key=lambda i: (*first(values[i]), i))
+        order = [F.col("v").asc() if sign == 1 else F.col("v").desc_nulls_first(), F.col("id")]
+        for number in (1, 2, 36, 70, 71, 72):
+            got = frames.page(df, order, number, 10, key=sign * F.col("v")).collect()
+            assert [r.id for r in got] == ranked[10 * (number - 1):10 * number] and all((r.total, r.pages) == (703, 71) for r in got)
+    assert frames.page(df.limit(0), [F.col("id")], 1, 10, key=F.col("v")).count() == 0
+    assert frames.page(df, [F.col("id")], 1, 500, key=F.col("id"), most=500).count() == 500
 
 
 def test_exact_median(spark):
@@ -80,7 +105,7 @@ def test_case_status_equals_all_pairs(spark):
 def test_document_versions(spark):
     df = spark.createDataFrame([(1, "income", 10, 1), (1, "income", 11, 2), (1, "ms10", 12, 1)],
                                "application_id int, document_type string, verification_id int, processed_at int")
-    got = {r.verification_id: (r.version, r.is_current) for r in lifecycle.document_versions(df, hot_rows=1).collect()}
+    got = {r.verification_id: (r.version, r.is_current) for r in lifecycle.document_versions(df).collect()}
     assert got == {10: (1, False), 11: (2, True), 12: (1, True)}
 
 
