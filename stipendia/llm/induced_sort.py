@@ -96,8 +96,9 @@ class _Shard:
     def __init__(self, text: np.ndarray, cap: int, memory: int, small: int, with_shared: bool):
         self.text, self.cap, self.memory, self.small, self.with_shared = text, cap, memory, small, with_shared
         n = len(text)
-        differs = np.flatnonzero(np.append(text[1:] != text[:-1], True) | (text == 0))
-        next_differing = differs[np.searchsorted(differs, np.arange(n))]
+        kind = np.int32 if n < 1 << 31 else np.int64
+        ends = np.append(text[1:] != text[:-1], True) | (text == 0)
+        next_differing = np.minimum.accumulate(np.where(ends, np.arange(n, dtype=kind), kind(n - 1))[::-1])[::-1]
         after = np.append(text[1:], 0)
         self.is_s = (text == 0) | (text[next_differing] < after[next_differing])
         self.zeros = np.flatnonzero(text == 0)
@@ -105,10 +106,11 @@ class _Shard:
         self.spilled = 0
 
     def _words(self) -> np.ndarray:
-        padded = np.concatenate([self.text, np.zeros(8, np.uint8)]).astype(np.uint64)
+        padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
         word = np.zeros(len(self.text), np.uint64)
         for b in range(8):
-            word = (word << np.uint64(8)) | padded[b:b + len(self.text)]
+            word <<= np.uint64(8)
+            word |= padded[b:b + len(self.text)]
         return word
 
     def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -37,6 +37,7 @@ from stipendia.llm.induced_sort import repeats
 from stipendia.llm.shingles import mixed
 
 LENGTH = anchors.LENGTH
+ROWS = 1_000           # texts held at once outside Arrow
 SHARD_BYTES = 4 << 20  # anchor groups are sorted together up to this size; no group is larger
 
 
@@ -56,8 +57,8 @@ def hot_anchors(source: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t for t in map(_bytes, batch.column(0).to_pylist()) if t is not None]
-            found = [anchors.places(t) for t in texts]
+            texts = (_bytes(text.as_py()) for text in batch.column(0))
+            found = [anchors.places(t) for t in texts if t is not None]
             anchor, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             often = n > 1
             yield pa.RecordBatch.from_arrays([pa.array((anchor[often] >> np.uint64(7)).view(np.int64)), pa.array(n[often])], names=["hot", "n"])
@@ -167,22 +168,26 @@ def _segments(named: DataFrame) -> DataFrame:
             names=["slot", "window", "doc", "first", "end", "data"])
 
     def run(batches):
-        for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column(2)))
-            texts = batch.column(1).field(0).to_pylist()
-            held: dict[bool, list[list]] = {True: [[], [], [], []], False: [[], [], [], []]}
-            for doc, text, runs in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                for part in runs:
-                    for column, value in zip(held[part["hot"]], (part["anchor"], doc, part["first"], data[part["first"]:part["end"]])):
-                        column.append(value)
-            slot, doc, first, data = held[False]
-            yield rows_of(doc, first, [f + len(d) for f, d in zip(first, data)], slot, None, data)
-            if held[True][0]:
-                slot, doc, first = (np.array(c, np.int64) for c in held[True][:3])
-                (slot, window, doc, start), gone = _windows(slot, doc, first, held[True][3])
-                yield rows_of(doc, start, start + LENGTH, slot, window)
-                yield rows_of(*gone)
+        for whole in batches:
+            whole = whole.filter(pa.compute.is_valid(whole.column(2)))
+            for start in range(0, len(whole), ROWS):
+                yield from cut(whole.slice(start, ROWS))
+
+    def cut(batch):
+        texts = batch.column(1).flatten()[0].to_pylist()
+        held: dict[bool, list[list]] = {True: [[], [], [], []], False: [[], [], [], []]}
+        for doc, text, runs in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+            data = text.encode("utf-8", "surrogatepass")
+            for part in runs:
+                for column, value in zip(held[part["hot"]], (part["anchor"], doc, part["first"], data[part["first"]:part["end"]])):
+                    column.append(value)
+        slot, doc, first, data = held[False]
+        yield rows_of(doc, first, [f + len(d) for f, d in zip(first, data)], slot, None, data)
+        if held[True][0]:
+            slot, doc, first = (np.array(c, np.int64) for c in held[True][:3])
+            (slot, window, doc, start), gone = _windows(slot, doc, first, held[True][3])
+            yield rows_of(doc, start, start + LENGTH, slot, window)
+            yield rows_of(*gone)
 
     return named.mapInArrow(run, "slot long, window long, doc long, first long, end long, data binary")
 
@@ -272,23 +277,27 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = source.join(_stretches(source), "doc", "left").select("doc", "body", "stretches")
 
     def run(batches):
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            body = batch.column(1)
-            for text, stretches in zip(body.field(0).to_pylist(), batch.column(2).to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                spans = merged([(s["start"], min(s["end"], len(data))) for s in stretches or () if s["start"] < len(data)])
-                parts, at = [], 0
-                for start, end in spans:
-                    parts.append(data[at:start])
-                    at = end
-                kept = b"".join([*parts, data[at:]])
-                whole = text if not spans else kept.decode("utf-8", "ignore")
-                for column, value in zip(rows, (len(data), len(data) - len(kept), len(spans), kept, whole)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.string()),
-                 *body.flatten()[1:]], names=names)
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                yield cut(whole.slice(start, ROWS))
+
+    def cut(batch):
+        rows: list[list] = [[], [], [], [], []]
+        text_and_carried = batch.column(1).flatten()
+        for text, stretches in zip(text_and_carried[0].to_pylist(), batch.column(2).to_pylist()):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            spans = merged([(s["start"], min(s["end"], len(data))) for s in stretches or () if s["start"] < len(data)])
+            parts, at = [], 0
+            for start, end in spans:
+                parts.append(data[at:start])
+                at = end
+            kept = b"".join([*parts, data[at:]])
+            left = text if not spans else kept.decode("utf-8", "ignore")
+            for column, value in zip(rows, (len(data), len(data) - len(kept), len(spans), kept, left)):
+                column.append(value)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.string()),
+             *text_and_carried[1:]], names=names)
 
     carried = source.schema["body"].dataType.fields[1:]
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *(f.name for f in carried)]
