@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from stipendia.functions.scalars import utc_clock, utc_instant
 from stipendia.plans.registry import query
+from stipendia.session import work_folder
 from stipendia.sources import readers, sinks
 from stipendia.streaming import logs
 
 
-
-def work_folder(spark) -> str:
-    """A new folder next to the checkpoints, which all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stipendia-stream-")
-
-
 def events(t):
     raw = readers.stream(t.spark, t.sf_dir, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
                          "events.parquet")

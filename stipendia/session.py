@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,11 @@ def durable(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, which all executors can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None and not _is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base}/work-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stipendia-work-")

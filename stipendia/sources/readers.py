@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stipendia import schemas
-from stipendia.functions.scalars import filled, present
+from stipendia.functions.scalars import filled, is_true, kept, present
 from stipendia.operators.frames import latest_by
 
 
@@ -34,8 +34,8 @@ ROSTER_DEFAULTS = {"course": "B.E. / B.Tech", "department": "Computer Science",
 DEFAULT_INCOME = 200000.0
 
 
-def roster_columns(raw: DataFrame) -> DataFrame:
-    """Known columns of a roster, whatever its header spelling; values trimmed, defaults filled."""
+def roster_columns(raw: DataFrame, *carry: str) -> DataFrame:
+    """Known columns of a roster, whatever its header spelling; values trimmed, defaults filled; ``carry`` as they are."""
     by_name = {re.sub(r"\s+", " ", c.strip().lower()): c for c in raw.columns}
 
     def pick(name: str) -> Column:
@@ -46,7 +46,38 @@ def roster_columns(raw: DataFrame) -> DataFrame:
     values.update({n: F.coalesce(values[n], F.lit(d)) for n, d in ROSTER_DEFAULTS.items()})
     income = F.regexp_replace(values["family_income"], "[^0-9.]", "").try_cast("double")
     values["family_income"] = F.when(present(values["family_income"]), income).otherwise(DEFAULT_INCOME)
-    return raw.select(*[v.alias(n) for n, v in values.items()])
+    return raw.select(*[v.alias(n) for n, v in values.items()], *carry)
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a folder of CSV files that share a header."""
+    return spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", True).csv(path).columns
+
+
+# Why a line of a roster is set aside.
+WRONG_WIDTH, NO_NUMBER, NO_NAME, NO_EMAIL = ("wrong number of columns", "Missing Register Number", "Missing Student Name",
+                                             "Missing or invalid Email")
+
+
+def tolerant_roster(spark: SparkSession, path: str, college_id) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantined rows) of a folder of CSV rosters; no line fails the read.
+
+    Every value is read as text.  Columns are found under any of their header spellings.  A line with too few or too many
+    columns is quarantined whole, as it stands in the file; a row without number, name or a usable e-mail with its
+    reasons.  Files are split and read by Spark; nothing is inferred from the data.
+    """
+    names = header_of(spark, path)
+    raw = (spark.read.schema(", ".join(f"`{n}` string" for n in names) + ", _line string").option("header", True)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("columnPruning", False)
+           .option("recursiveFileLookup", True).csv(path))
+    known = roster_columns(raw, "_line")
+    reasons = kept([(F.col("_line").isNotNull(), F.lit(WRONG_WIDTH)),
+                    (F.col("_line").isNull() & ~present(F.col("register_number")), F.lit(NO_NUMBER)),
+                    (F.col("_line").isNull() & ~present(F.col("full_name")), F.lit(NO_NAME)),
+                    (F.col("_line").isNull() & ~is_true(F.col("email").contains("@")), F.lit(NO_EMAIL))])
+    judged = known.withColumn("reasons", reasons).withColumn("college_id", F.lit(college_id))
+    good = judged.where(F.size("reasons") == 0).drop("reasons", "_line")
+    return good, judged.where(F.size("reasons") > 0).select("college_id", "register_number", "full_name", "email", "_line", "reasons")
 
 
 def roster(spark: SparkSession, path: str, college_id) -> DataFrame:
@@ -72,6 +103,21 @@ def manifest(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def tolerant_manifest(spark: SparkSession, path: str, schema: str, required: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantined lines with a reason) of a line-delimited JSON manifest.
+
+    ``schema`` is a column list.  A line that is no JSON object of the schema, or that lacks ``required``, is
+    quarantined as it stands; a field the schema does not name is left out.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    read = lines.select("value", F.from_json("value", f"{schema}, _broken string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("row"))
+    broken, lacking = F.col("row._broken").isNotNull(), F.col(f"row.{required}").isNull()
+    good = read.where(~broken & ~lacking).select("row.*").drop("_broken")
+    bad = read.where(broken | lacking).select("value", F.when(broken, "not readable").otherwise(f"no {required}").alias("reason"))
+    return good, bad
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """File contents with path and length, for fingerprints only."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

@@ -33,12 +33,47 @@ APPLICATION_SHEET = [
     ("Last Reviewer Role", "reviewer", "—"), ("Current Stage", "stage_label", "—"), ("Who Must Act", "who_must_act", "—"),
     ("Next Action", "next_action", "—"), ("Submitted Date", "submitted_at", "—"), ("Last Updated", "last_updated_at", "—"),
 ]
+# Export headers of the payment sheet (header, column, default).
+PAYMENT_SHEET = [
+    ("Payment ID", "payment_id", "—"), ("Application ID", "application_id", "—"), ("Student", "full_name", "—"),
+    ("College", "college_name", "—"), ("Scheme", "scheme_name", "—"), ("Academic Year", "academic_year", "2026-2027"),
+    ("Payment Component", "component", "DBT Scholarship Component"), ("Installment", "instalment", "1"),
+    ("Sanctioned Amount (₹)", "sanctioned", "0"), ("Confirmed Paid Amount (₹)", "paid", "0"),
+    ("Payment Status", "payment_status", "PENDING"), ("UTR / Reference", "payment_reference", "—"),
+    ("Payment Source", "source", "DBT_CONFIRMED_MANUAL"), ("Payment Date", "paid_on", "—"),
+    ("Last Successful Update", "created_at", "—"),
+]
+# Export headers of the deficiency sheet (header, column, default).
+DEFICIENCY_SHEET = [
+    ("Deficiency ID", "deficiency_id", "—"), ("Application ID", "application_id", "—"), ("Student", "full_name", "—"),
+    ("College", "college_name", "—"), ("Deficiency Type", "deficiency_type", "DATA_MISMATCH"), ("Description", "description", "—"),
+    ("Required Action", "action", "—"), ("Assigned Staff", "assigned_to", "Student / Institutional Staff"),
+    ("Severity", "severity", "HIGH"), ("Status", "status", "OPEN"), ("Created Date", "created_at", "—"),
+    ("Due Date", "due_on", "—"), ("Resolved Date", "resolved_at", "—"),
+]
+# Export headers of the status history sheet (header, column, default).
+HISTORY_SHEET = [
+    ("History ID", "history_id", "—"), ("Application ID", "application_id", "—"), ("Previous Status", "previous_status", "NONE"),
+    ("New Status", "new_status", "—"), ("Changed By", "changed_by", "—"), ("Role", "changed_by_role", "—"), ("Reason", "reason", "—"),
+    ("Source", "source", "INTERNAL"), ("Evidence Reference", "evidence_reference", "—"), ("Timestamp", "changed_at", "—"),
+]
 
 
 def sheet(df: DataFrame, layout: list[tuple[str, str, str]]) -> DataFrame:
-    """Rows under their published headers; absent and empty values take the layout's default."""
-    return df.select(*[F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit(None).cast("string"),
-                                  F.lit(default)).alias(header) for header, c, default in layout])
+    """Rows under their published headers; absent and empty values take the layout's default.
+
+    Times are written to the second, dates as year-month-day.
+    """
+    kinds = dict(df.dtypes)
+
+    def text(column: str):
+        if column not in kinds:
+            return F.lit(None).cast("string")
+        if kinds[column].startswith("timestamp"):
+            return F.date_format(F.col(column), "yyyy-MM-dd HH:mm:ss")
+        return F.nullif(F.col(column).cast("string"), F.lit(""))
+
+    return df.select(*[F.coalesce(text(c), F.lit(default)).alias(header) for header, c, default in layout])
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -49,21 +84,10 @@ def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "par
     (writer.partitionBy(by) if by else writer).save(path)
 
 
-def write_bundle(datasets: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """The export datasets side by side under one folder."""
-    for name, df in datasets.items():
-        write_table(df, f"{folder}/{name}", fmt=fmt)
-
-
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_events(df: DataFrame, path: str, day: str = "changed_at") -> None:
-    """Append to an event log partitioned by day."""
-    df.withColumn("day", F.col(day).cast("date")).write.mode("append").partitionBy("day").parquet(path)
-
-
 def write_delta(batch: DataFrame, epoch: int, path: str, keys: list[str], order: list[str]) -> None:
     """Changed keys of one micro-batch as their own folder; a replayed batch overwrites itself."""
     latest_by(batch, keys, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

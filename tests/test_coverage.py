@@ -10,11 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 # Operators without a query of their own: what covers them.
 BY_TEST = {
     "SRC-01": "test_sources.py::test_entity_schema",
-    "SRC-05": "test_sources.py::test_labelled_documents_keep_the_newer_generation",
     "SRC-07": "test_queries.py::test_query",
-    "SNK-01": "test_sources.py::test_sheets_and_bundle",
-    "SNK-03": "test_sources.py::test_sheets_and_bundle",
-    "SNK-05": "test_sources.py::test_event_log_and_state",
     "PRJ-08": "test_rules.py::test_feedback",
 }
 

@@ -1,9 +1,11 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from stipendia.operators import documents
-from stipendia.sources import readers, sinks
+from stipendia.sources import commits, readers, sinks
 
 
 def test_roster_headers(spark, tmp_path):
@@ -29,22 +31,16 @@ def test_file_fingerprints(spark, tmp_path):
     assert sorted(r.copies for r in copies) == [1, 2, 2] and "content" not in copies[0].asDict()
 
 
-def test_sheets_and_bundle(spark, tmp_path):
+def test_sheets(spark, tmp_path):
     df = spark.createDataFrame([("a1", "", None)], "application_id string, full_name string, scheme_id string")
-    for layout, width in ((sinks.COLLEGE_SHEET, 26), (sinks.APPLICATION_SHEET, 27)):
+    for layout, width in ((sinks.COLLEGE_SHEET, 26), (sinks.APPLICATION_SHEET, 27), (sinks.PAYMENT_SHEET, 15), (sinks.DEFICIENCY_SHEET, 13), (sinks.HISTORY_SHEET, 10)):
         out = sinks.sheet(df, layout)
-        assert len(out.columns) == width and out.first()["Student Name"] == "—"
-    sinks.write_bundle({"one": df, "two": df}, str(tmp_path / "out"), "csv")
-    assert spark.read.option("header", True).csv(str(tmp_path / "out/one")).first().application_id == "a1"
+        assert len(out.columns) == width and out.first()[layout[1][0]] in ("—", "a1")
     sinks.write_json_lines(df, str(tmp_path / "rows"))
     assert readers.manifest(spark, str(tmp_path / "rows"), df.schema).count() == 1
 
 
-def test_event_log_and_state(spark, tmp_path):
-    log = spark.sql("SELECT 1 AS id, 'a' AS v, timestamp_ntz'2024-01-01 10:00:00' AS changed_at")
-    sinks.append_events(log, str(tmp_path / "log"))
-    sinks.append_events(log.withColumn("id", F.lit(2)), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).where("day = '2024-01-01'").count() == 2
+def test_state(spark, tmp_path):
     state = str(tmp_path / "state")
     for epoch, (value, at) in enumerate([("old", 1), ("new", 2)]):
         batch = spark.createDataFrame([(1, value, at)], "id int, v string, at int")
@@ -58,3 +54,51 @@ def test_event_log_and_state(spark, tmp_path):
 def test_entity_schema(spark, tmp_path):
     spark.createDataFrame([("h1", "a")], "history_id string, application_id string").write.parquet(str(tmp_path / "h"))
     assert readers.entity(spark, str(tmp_path / "h"), "history").first().history_id == "h1"
+
+
+def test_bundles_are_published_whole_and_once(spark, tmp_path):
+    folder, one = str(tmp_path / "out"), spark.createDataFrame([("a1", 1)], "id string, n int")
+    assert commits.published(spark, folder) == {}
+
+    def broken(batches):
+        raise RuntimeError("lost")
+        yield from batches
+
+    with pytest.raises(Exception, match="lost"):
+        commits.publish({"one": one, "two": one.mapInArrow(broken, "id string")}, folder, 1)
+    assert commits.published(spark, folder) == {}  # the first dataset is on disk, but no note names it
+    assert commits.publish({"one": one, "two": one.limit(0)}, folder, 1)
+    assert not commits.publish({"one": one.union(one)}, folder, 1)
+    assert commits.publish({"one": one.union(one)}, folder, 2, "parquet")
+    assert {k: v.count() for k, v in commits.published(spark, folder).items()} == {"one": 2}
+    assert {k: v.count() for k, v in commits.published(spark, folder, 1).items()} == {"one": 1, "two": 0}
+    csv = str(tmp_path / "csv")
+    commits.publish({"one": one}, csv, 7, "csv")
+    assert commits.published(spark, csv, fmt="csv")["one"].first().id == "a1"
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    folder, rows = str(tmp_path / "log"), spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert commits.log(spark, folder, rows.schema).count() == 0
+    for writer, n, sent in (("x", 1, True), ("x", 1, False), ("x", 2, True), ("y", 1, True), ("x", 2, False)):
+        assert commits.append_once(rows, folder, writer, n) == sent
+    rows.write.parquet(f"{folder}/log/writer=y/sequence=2")  # a batch that was lost before its note
+    got = sorted((r.writer, r.sequence, r.id) for r in commits.log(spark, folder, rows.schema).collect())
+    assert got == sorted((w, n, i) for w, n in (("x", 1), ("x", 2), ("y", 1)) for i in (1, 2))
+
+
+def test_tolerant_readers(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.csv").write_text('Reg No,STUDENT NAME ,Email,Branch\n R1 , Arun ,a@x.y,ECE\nR2,Mala\nR3,"Devi, M",d@x.y,,\n,,none,\n')
+    (tmp_path / "r" / "b.csv").write_text('Reg No,STUDENT NAME ,Email,Branch\nR4,Ravi,r@x.y,\n')
+    good, bad = readers.tolerant_roster(spark, str(tmp_path / "r"), 5)
+    assert sorted((r.register_number, r.full_name, r.department, r.college_id) for r in good.collect()) == [("R1", "Arun", "ECE", 5), ("R4", "Ravi", "Computer Science", 5)]
+    assert sorted((r._line or "", *r.reasons) for r in bad.collect()) == [
+        ("", "Missing Register Number", "Missing Student Name", "Missing or invalid Email"),
+        ('R2,Mala', "wrong number of columns"), ('R3,"Devi, M",d@x.y,,', "wrong number of columns")]
+    assert (good.count(), bad.count(), good.select("email").distinct().count()) == (2, 3, 2)
+    (tmp_path / "m.jsonl").write_text('{"id": "1", "n": 2, "x": 0}\n{"id": "2", "n": "no"}\n{"n": 3}\n[1]\n{"id": \n\n')
+    good, bad = readers.tolerant_manifest(spark, str(tmp_path / "m.jsonl"), "id string, n int", "id")
+    assert [tuple(r) for r in good.collect()] == [("1", 2)]
+    assert sorted((r.value, r.reason) for r in bad.collect()) == [
+        ('[1]', "not readable"), ('{"id": ', "not readable"), ('{"id": "2", "n": "no"}', "not readable"), ('{"n": 3}', "no id")]
