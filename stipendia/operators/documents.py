@@ -1,53 +1,67 @@
 """Document tables: type, title, state, authority, duplicates, quality gate.
 
-Whole texts are scanned; the title rule alone looks at the first 1500
-characters, because a title is defined by its place at the top of a page.
+Whole texts are scanned.  One scan finds the literal anchors of all patterns of
+a job (``functions.anchored``), and a pattern is tried on texts with one of its
+anchors only.  A title says where it stands, so that a caller who wants titles
+at the top of a page alone can filter on that.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stipendia.functions import doc_rules
+from stipendia.functions.anchored import Anchored
 from stipendia.functions.scalars import contains_pattern, first_case, is_true, kept, let, matches, regex, replace_all
 from stipendia.operators.frames import balanced, with_key_count
 
-HEADER = 1500
-
 
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
+_PLACES = [p for _, ps in doc_rules.STATES for p in ps]
+_OFFICES = [p for _, p in doc_rules.AUTHORITIES]
+_TYPES = [p for rules in doc_rules.TYPE_RULES.values() for p, _, _ in rules]
+STATE_ANCHORS, AUTHORITY_ANCHORS, TYPE_ANCHORS = Anchored(_PLACES), Anchored(_OFFICES), Anchored(_TYPES + _PLACES + _OFFICES)
+
+
 def state_of(text: Column) -> Column:
     """struct(state, state_confidence): the first state with any of its words."""
-    return let(F.lower(text), _state_in)
+    return let(F.lower(text), lambda low: let(STATE_ANCHORS.scan(low), lambda found: _state_in(low, found, STATE_ANCHORS)))
 
 
-def _state_in(low: Column) -> Column:
-    def hits(patterns: list[str]) -> Column:
-        return reduce(add, [contains_pattern(low, p).cast("int") for p in patterns])
+def _state_in(low: Column, found: Column, known: Anchored) -> Column:
+    def has(pattern: str) -> Column:
+        return known.possible(found, pattern) & contains_pattern(low, pattern)
 
-    def found(name: str, n: Column) -> Column:
-        return F.struct(F.lit(name).alias("state"), F.least(F.lit(98), F.lit(70) + n * 14).alias("state_confidence"))
+    def named(name: str, patterns: list[str]) -> tuple[Column, Column]:
+        n = reduce(add, [has(p).cast("int") for p in patterns])
+        return (known.possible(found, *patterns) & reduce(or_, [has(p) for p in patterns]),
+                F.struct(F.lit(name).alias("state"), F.least(F.lit(98), F.lit(70) + n * 14).alias("state_confidence")))
 
-    return first_case([(contains_pattern(low, "|".join(ps)), found(name, hits(ps)))
-                       for name, ps in doc_rules.STATES],
+    return first_case([named(name, ps) for name, ps in doc_rules.STATES],
                       F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("state_confidence")))
 
 
 def authority_of(text: Column) -> Column:
-    return let(F.lower(text), lambda low: first_case(
-        [(contains_pattern(low, p), n) for n, p in doc_rules.AUTHORITIES], F.lit(None).cast("string")))
+    return let(F.lower(text), lambda low: let(AUTHORITY_ANCHORS.scan(low), lambda found: _authority_in(low, found, AUTHORITY_ANCHORS)))
+
+
+def _authority_in(low: Column, found: Column, known: Anchored) -> Column:
+    return first_case([(known.possible(found, p) & contains_pattern(low, p), n) for n, p in doc_rules.AUTHORITIES],
+                      F.lit(None).cast("string"))
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add type, confidence, reasons, per-type scores, state and authority."""
-    rows = balanced(docs).withColumn("_clean", F.lower(squeezed(F.col(text))))
-    signals = {t: F.array(*[F.when(contains_pattern(F.col("_clean"), p), F.struct(F.lit(w).alias("w"), F.lit(r).alias("r")))
+    rows = balanced(docs).withColumn("_clean", F.lower(squeezed(F.col(text)))).withColumn("_anchors", TYPE_ANCHORS.scan(F.col("_clean")))
+    found = F.col("_anchors")
+    signals = {t: F.array(*[F.when(TYPE_ANCHORS.possible(found, p) & contains_pattern(F.col("_clean"), p),
+                                   F.struct(F.lit(w).alias("w"), F.lit(r).alias("r")))
                             for p, w, r in rules]) for t, rules in doc_rules.TYPE_RULES.items()}
     for kind, signal in signals.items():
         rows = rows.withColumn(f"_s_{kind}", F.filter(signal, lambda x: x.isNotNull()))
@@ -72,8 +86,8 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("mixed_signals", is_true(enough & mixed))
             .withColumn("reasons", F.when(enough, F.slice(top["reasons"], 1, 4)).otherwise(empty))
             .withColumn("scores", F.map_from_entries(F.transform("_ranked", lambda x: F.struct(x["type"], x["score"]))))
-            .withColumn("_state", state_of(F.col("_clean")))
-            .withColumn("authority", authority_of(F.col("_clean"))))
+            .withColumn("_state", _state_in(F.col("_clean"), found, TYPE_ANCHORS))
+            .withColumn("authority", _authority_in(F.col("_clean"), found, TYPE_ANCHORS)))
     return rows.select(*docs.columns, "doc_type", "confidence", "is_confident", "mixed_signals", "reasons", "scores",
                        "_state.state", "_state.state_confidence", "authority")
 
@@ -92,33 +106,46 @@ def suggestion(doc_type: Column, confidence: Column) -> Column:
                     uncertain.alias("uncertain"))
 
 
+_TITLE_PATTERNS = [p for _, _, _, patterns in doc_rules.TITLES for p in patterns] + [p for p, _ in doc_rules.PARTIAL_TITLES]
+TITLE_ANCHORS = Anchored(_TITLE_PATTERNS)
+
+
 def titles(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Document title from the header, a second reading with repaired digits, then weak anchors."""
-    rows = balanced(docs).withColumn("_head", F.substring(F.trim(F.coalesce(F.col(text), F.lit(""))), 1, HEADER))
-    rows = rows.withColumn("_fixed", F.trim(replace_all(F.col("_head"), *doc_rules.TITLE_REPAIRS)))
+    """Document title, a second reading with repaired digits, then weak anchors.
 
-    def title(kind: str, name: str, confidence: int, evidence: Column, sure: bool = True) -> Column:
+    The whole text is searched.  ``title_at`` is the place of the evidence in the trimmed text, or in its repaired
+    reading, counted from 1; null without evidence.
+    """
+    rows = balanced(docs).withColumn("_text", F.trim(F.coalesce(F.col(text), F.lit(""))))
+
+    def title(kind: str, name: str, confidence: int, evidence: Column, at: Column, sure: bool = True) -> Column:
         return F.struct(F.lit(kind).alias("title_type"), F.lit(name).alias("title"),
                         F.lit(confidence).alias("title_confidence"), F.lit(sure).alias("identified"),
-                        evidence.alias("evidence"))
+                        evidence.alias("evidence"), at.alias("title_at"))
+
+    def place(source: Column, pattern: str) -> Column:
+        return F.regexp_instr(source, F.lit(regex(pattern, "i")))
 
-    def scan(source: str, penalty: int) -> list[tuple[Column, Column]]:
+    def scan(source: Column, found: Column, penalty: int) -> list[tuple[Column, Column]]:
         out = []
         for kind, name, weight, patterns in doc_rules.TITLES:
             for p in patterns:
                 sure = weight if penalty == 0 else max(60, weight - penalty)
-                out.append((matches(F.col(source), p),
-                            title(kind, name, sure, F.regexp_extract(F.col(source), regex(p, "i"), 0))))
+                out.append((TITLE_ANCHORS.possible(found, p) & matches(source, p), title(
+                    kind, name, sure, F.regexp_extract(source, regex(p, "i"), 0), place(source, p))))
         return out
 
-    nothing = F.lit(None).cast("string")
-    # the repaired header is only searched when the header itself gave nothing
-    first = first_case(scan("_head", 0), None)
-    repaired = first_case(scan("_fixed", 10), None)
-    weak = first_case([(matches(F.col("_head"), p), title("unknown", n, 61, F.lit(n), False))
-                       for p, n in doc_rules.PARTIAL_TITLES], title("unknown", "Unknown Document", 15, nothing, False))
-    short = title("unknown", "Unknown Document", 0, nothing, False)
-    rows = rows.withColumn("_t", F.when(F.length("_head") >= 10, F.coalesce(first, repaired, weak)).otherwise(short))
+    nothing, nowhere = F.lit(None).cast("string"), F.lit(None).cast("int")
+    source, found = F.col("_text"), F.col("_anchors")
+    rows = rows.withColumn("_anchors", TITLE_ANCHORS.scan(F.lower("_text"))).withColumn("_first", first_case(scan(source, found, 0), None))
+    # the repaired reading is only made and searched where the text itself gave nothing
+    fixed = F.when(F.col("_first").isNull(), F.trim(replace_all(source, *doc_rules.TITLE_REPAIRS)))
+    rows = rows.withColumn("_fixed", fixed).withColumn("_again", TITLE_ANCHORS.scan(F.lower("_fixed")))
+    repaired = first_case(scan(F.col("_fixed"), F.col("_again"), 10), None)
+    weak = first_case([(TITLE_ANCHORS.possible(found, p) & matches(source, p), title("unknown", n, 61, F.lit(n), place(source, p), False))
+                       for p, n in doc_rules.PARTIAL_TITLES], title("unknown", "Unknown Document", 15, nothing, nowhere, False))
+    short = title("unknown", "Unknown Document", 0, nothing, nowhere, False)
+    rows = rows.withColumn("_t", F.when(F.length("_text") >= 10, F.coalesce("_first", repaired, weak)).otherwise(short))
     return rows.select(*docs.columns, "_t.*")
 
 

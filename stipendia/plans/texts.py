@@ -80,23 +80,25 @@ def _title_cases(col: str, penalty: int) -> str:
     for kind, title, weight, patterns in doc_rules.TITLES:
         sure = weight if not penalty else max(60, weight - penalty)
         for p in patterns:
-            out.append(f"WHEN {hit(col, p)} THEN ['{kind}', '{title}', '{sure}', regexp_extract({col}, {q(p)}, 0)]")
+            out.append(f"WHEN {hit(col, p)} THEN ['{kind}', '{title}', '{sure}', regexp_extract({col}, {q(p)}, 0), "
+                       f"CAST(strpos({col}, regexp_extract({col}, {q(p)}, 0)) AS VARCHAR)]")
     return " ".join(out)
 
 
 _FIXED = "h"
 for _p, _v in doc_rules.TITLE_REPAIRS:
     _FIXED = f"regexp_replace({_FIXED}, '{_p}', '{_v.replace('$1', chr(92) + '1')}', 'g')"
-_WEAK = " ".join(f"WHEN {hit('h', p)} THEN ['unknown', '{n}', '61', '{n}']" for p, n in doc_rules.PARTIAL_TITLES)
+_WEAK = " ".join(f"WHEN {hit('h', p)} THEN ['unknown', '{n}', '61', '{n}', CAST(length(regexp_extract(h, {q('(?s)^(.*?)(?:' + p + ')')}, 1)) + 1 AS VARCHAR)]"
+                 for p, n in doc_rules.PARTIAL_TITLES)
 
 
 @query("text_titles", "TXT-02", f"""
-WITH b AS (SELECT doc_key, substr(trim(text), 1, 1500) AS h FROM all_texts), f AS (SELECT *, trim({_FIXED}) AS x FROM b),
-r AS (SELECT doc_key, CASE WHEN length(h) < 10 THEN ['unknown', 'Unknown Document', '0', NULL] ELSE
- CASE {_title_cases("h", 0)} {_title_cases("x", 10)} {_WEAK} ELSE ['unknown', 'Unknown Document', '15', NULL] END END AS v FROM f)
-SELECT doc_key, v[1] AS title_type, v[2] AS title, CAST(v[3] AS INT) AS title_confidence, v[4] AS evidence FROM r""")
+WITH b AS (SELECT doc_key, trim(text) AS h FROM all_texts), f AS (SELECT *, trim({_FIXED}) AS x FROM b),
+r AS (SELECT doc_key, CASE WHEN length(h) < 10 THEN ['unknown', 'Unknown Document', '0', NULL, NULL] ELSE
+ CASE {_title_cases("h", 0)} {_title_cases("x", 10)} {_WEAK} ELSE ['unknown', 'Unknown Document', '15', NULL, NULL] END END AS v FROM f)
+SELECT doc_key, v[1] AS title_type, v[2] AS title, CAST(v[3] AS INT) AS title_confidence, v[4] AS evidence, CAST(v[5] AS INT) AS title_at FROM r""")
 def _(t):
-    return documents.titles(all_texts(t)).select("doc_key", "title_type", "title", "title_confidence", "evidence")
+    return documents.titles(all_texts(t)).select("doc_key", "title_type", "title", "title_confidence", "evidence", "title_at")
 
 
 _TEMPLATE = " ".join(f"WHEN {hit('text', p)} THEN '{n}'" for n, _, _, _, p in doc_rules.TEMPLATES)
