@@ -389,15 +389,84 @@ def _(t):
     return readiness.readiness(readiness_input(t), as_instant(AS_OF)).drop("findings", "missing_documents")
 
 
+# Answers that make every kind of finding occur, by the student's number (struct, field, type, rows of condition and value).
+_VARIED = [
+    ("s", "rule_status", "string", [("k % 5 = 0", "'UNVERIFIED'"), ("true", "'VERIFIED'")]),
+    ("s", "requires_disability", "boolean", [("true", "k % 3 = 0")]),
+    ("s", "minimum_disability", "int", [("k % 6 = 0", "60")]),
+    ("p", "disability", "boolean", [("k % 4 = 1", "true")]),
+    ("p", "disability_percentage", "int", [("k % 7 = 2", "30"), ("k % 7 = 3", "50")]),
+    ("d", "disability_cert", "boolean", [("true", "k % 2 = 0")]),
+    ("s", "jurisdiction", "string", [("k % 8 = 1", "'CENTRAL'"), ("true", "'TAMIL_NADU'")]),
+    ("s", "portal", "string", [("k % 9 = 0", "'NSP'")]),
+    ("p", "otr_generated", "boolean", [("true", "k % 2 = 1")]),
+    ("p", "face_auth_available", "boolean", [("k % 3 = 1", "true")]),
+    ("s", "level", "string", [("k % 10 = 3", "'pg'")]),
+    ("d", "issue_date", "string", [("k % 11 = 4", "NULL"), ("true", "d.issue_date")]),
+    ("d", "expiry_date", "string", [("k % 11 = 4", "NULL"), ("true", "d.expiry_date")]),
+    ("d", "has_income_cert", "boolean", [("true", "k % 12 <> 5")]),
+    ("d", "previous_marks", "string", [("k % 2 = 0", "'seen'")]),
+]
+
+
+def varied_input(t):
+    rows = readiness_input(t).withColumn("k", F.col("student_id").cast("long"))
+    for part, field, kind, cases_ in _VARIED:
+        value = "CASE " + " ".join(f"WHEN {c} THEN CAST({v} AS {kind})" for c, v in cases_) + " END"
+        rows = rows.withColumn(part, F.col(part).withField(field, F.expr(value)))
+    return rows.withColumn("match_type", F.expr("CASE WHEN k % 13 = 6 THEN 'POTENTIAL MATCH' ELSE match_type END")).drop("k")
+
+
+_KINDS = [
+    ("IDENTITY_NAME_MISMATCH", "HIGH", "wrong > 0", "least(15, wrong * 6)"), ("IDENTITY_DOB_MISMATCH", "HIGH", "dob <> dob12", "8"),
+    ("IDENTITY_INCOME_NAME_MISMATCH", "HIGH", f"income_applicant = 'student' AND {sim('full_name', 'income_holder')} < 0.70", "6"),
+    ("DOCS_MISSING_REQUIRED", "MEDIUM", "miss > 0", "least(16, miss * 5)"), ("DOCS_NONE_UPLOADED", "HIGH", "miss IS NULL", "12"),
+    ("DOCS_WRONG_TYPE", "HIGH", "nat = 9", "5"), ("DOCS_LOW_QUALITY", "MEDIUM", "nat = 10", "8"),
+    ("DOCS_MISSING_CERT_NUMBER", "LOW", "sid % 12 <> 5 AND nat = 2", "3"), ("DOCS_MISSING_AUTHORITY", "LOW", "sid % 12 <> 5 AND nat = 4", "2"),
+    ("RULE_UNVERIFIED_NOTICE", "MEDIUM", "sid % 5 = 0", "0"), ("ELIG_POTENTIAL_ONLY", "MEDIUM", "sid % 13 = 6", "0"),
+    ("ELIG_NEEDS_INFO", "HIGH", "sid % 13 <> 6 AND seg = 'FURNITURE'", "0"),
+    ("ELIG_UNVERIFIED_GAP", "MEDIUM", "sid % 13 <> 6 AND seg = 'HOUSEHOLD' AND sid % 5 = 0", "0"),
+    ("ELIG_NOT_MATCHED", "HIGH", "sid % 13 <> 6 AND seg = 'HOUSEHOLD' AND sid % 5 <> 0", "20"),
+    ("ELIG_QUOTA_UNKNOWN", "HIGH", "sid % 8 <> 1 AND bal >= 6000", "0"), ("ELIG_QUOTA_MANAGEMENT", "HIGH", "sid % 8 <> 1 AND bal < 3000", "0"),
+    ("ELIG_FIRST_GRAD_UNKNOWN", "HIGH", "sid % 8 <> 1 AND bal <= 2000", "0"), ("APP_INCOME_MISMATCH", "MEDIUM", "gap", "4"),
+    ("APP_CATEGORY_MISMATCH", "HIGH", "bal > 5000 AND community <> 'DNC'", "8"), ("APP_COURSE_MISMATCH", "MEDIUM", "nat = 11", "4"),
+    ("APP_INSTITUTION_MISMATCH", "MEDIUM", "nat = 12", "4"), ("APP_COURSE_LEVEL_MISMATCH", "HIGH", "sid % 10 = 3", "4"),
+    ("APP_DOMICILE_MISSING", "MEDIUM", "sid % 8 <> 1 AND nat >= 20", "0"),
+    ("APP_DOMICILE_MISMATCH", "HIGH", "sid % 8 <> 1 AND nat >= 15 AND nat < 20", "10"),
+    ("APP_DISABILITY_PERCENTAGE_BELOW_MIN", "HIGH", "sid % 3 = 0 AND (sid % 7 = 2 OR (sid % 7 = 3 AND sid % 6 = 0))", "6"),
+    ("APP_DISABILITY_PERCENTAGE_UNKNOWN", "MEDIUM", "sid % 3 = 0 AND sid % 7 NOT IN (2, 3) AND (sid % 4 = 1 OR sid % 2 = 0)", "0"),
+    ("APP_DISABILITY_CERT_MISSING", "HIGH", "sid % 3 = 0 AND sid % 2 <> 0", "6"),
+    ("BANK_HOLDER_MISMATCH", "HIGH", f"{sim('full_name', 'bank_holder')} < 0.75", "5"), ("BANK_IFSC_INVALID", "MEDIUM", "nat = 13", "3"),
+    ("BANK_AADHAAR_NOT_SEEDED", "HIGH", "nat < 5", "2"), ("BANK_AADHAAR_SEEDING_UNKNOWN", "LOW", "nat >= 15", "0"),
+    ("CERT_INCOME_EXPIRED", "HIGH", "stale AND sid % 11 <> 4", "6"), ("CERT_INCOME_DATE_MISSING", "MEDIUM", "sid % 11 = 4 AND sid % 12 <> 5", "0"),
+    ("WRONG_ACADEMIC_YEAR", "MEDIUM", "bal < 100", "3"), ("RENEWAL_DOC_MISSING", "MEDIUM", "bal > 9000 AND sid % 2 = 1", "0"),
+    ("NSP_2026_OTR_TRACKER", "MEDIUM", "(sid % 8 = 1 OR sid % 9 = 0) AND sid % 2 = 0", "0"),
+    ("NSP_2026_FACE_AUTH_DEVICE", "LOW", "(sid % 8 = 1 OR sid % 9 = 0) AND sid % 3 <> 1", "0"),
+]
+_RAISED = ", ".join(f"CASE WHEN {cond} THEN {{'s': {('HIGH', 'MEDIUM', 'LOW').index(severity)}, 'n': {n}, 'id': '{name}', 'severity': '{severity}',"
+                    f" 'points': CAST({points} AS INT)}} END" for n, (name, severity, cond, points) in enumerate(_KINDS))
+
+
 @query("readiness_findings", "RUL-08 SRT-05", f"""
-WITH {_READY}, f AS (SELECT unnest(list_filter([CASE WHEN wrong > 0 THEN 'IDENTITY_NAME_MISMATCH' END, CASE WHEN dob <> dob12 THEN 'IDENTITY_DOB_MISMATCH' END,
- CASE WHEN miss > 0 THEN 'DOCS_MISSING_REQUIRED' END, CASE WHEN miss IS NULL THEN 'DOCS_NONE_UPLOADED' END,
- CASE WHEN seg = 'HOUSEHOLD' THEN 'ELIG_NOT_MATCHED' END, CASE WHEN bal < 3000 THEN 'ELIG_QUOTA_MANAGEMENT' END,
- CASE WHEN nat >= 20 THEN 'APP_DOMICILE_MISSING' END, CASE WHEN stale THEN 'CERT_INCOME_EXPIRED' END,
- CASE WHEN bal > 9000 THEN 'RENEWAL_DOC_MISSING' END], lambda z: z IS NOT NULL)) AS id FROM x)
-SELECT id, count(*) AS cases FROM f GROUP BY 1""")
+WITH {_READY}, k AS (SELECT *, CAST(student_id AS BIGINT) AS sid FROM x), f AS (SELECT student_id, list_sort(list_filter([{_RAISED}], lambda z: z IS NOT NULL)) AS found FROM k)
+SELECT student_id, CAST(unnest(range(len(found))) AS INT) AS place, unnest(found).id AS id, unnest(found).severity AS severity,
+ unnest(found).points AS points FROM f""")
+def _(t):
+    """Every finding of every student, gravest first."""
+    checked = readiness.readiness(varied_input(t), as_instant(AS_OF))
+    return checked.select("student_id", F.posexplode_outer("findings").alias("place", "f")).where("f is not null").select(
+        "student_id", "place", "f.id", "f.severity", "f.points")
+
+
+@query("finding_counts", "RUL-08", f"""
+WITH {_READY}, k AS (SELECT *, CAST(student_id AS BIGINT) AS sid FROM x), f AS (SELECT unnest(list_filter([{_RAISED}], lambda z: z IS NOT NULL)) AS f FROM k)
+SELECT f.id AS id, f.severity AS severity, count(*) AS cases FROM f GROUP BY 1, 2""")
+def _(t):
+    return readiness.finding_counts(readiness.readiness(varied_input(t), as_instant(AS_OF)))
+
+
+@query("missing_documents", "JOI-18", f"""
+WITH {_READY} SELECT student_id, unnest(CASE WHEN miss IS NULL THEN ['Aadhaar Card', 'Class 12 Marksheet', 'Income Certificate', 'Bank Passbook']
+ ELSE ['Aadhaar Card', 'Bank Passbook'] END) AS label FROM x WHERE miss IS NULL OR miss > 0""")
 def _(t):
-    shown = ["IDENTITY_NAME_MISMATCH", "IDENTITY_DOB_MISMATCH", "DOCS_MISSING_REQUIRED", "DOCS_NONE_UPLOADED", "ELIG_NOT_MATCHED",
-             "ELIG_QUOTA_MANAGEMENT", "APP_DOMICILE_MISSING", "CERT_INCOME_EXPIRED", "RENEWAL_DOC_MISSING"]
-    counts = readiness.finding_counts(readiness.readiness(readiness_input(t), as_instant(AS_OF)))
-    return counts.where(F.col("id").isin(shown)).select("id", "cases")
+    return readiness.readiness(readiness_input(t), as_instant(AS_OF)).select("student_id", F.explode("missing_documents").alias("label"))
