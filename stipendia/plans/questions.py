@@ -245,30 +245,36 @@ def _(t):
 @query("error_rates", "EVL-02", f"""
 WITH {_EVAL} SELECT CAST(sum(levenshtein(lower(full_name), lower(coalesce(pname, '')))) AS BIGINT) AS char_edits, CAST(sum(length(full_name)) AS BIGINT) AS chars,
  CAST(sum(CASE WHEN pname IS NULL THEN 3 WHEN seg = 'BUILDING' THEN 1 WHEN pname = full_name THEN 0 WHEN seg = 'AUTOMOBILE' THEN 1
-  WHEN seg = 'MACHINERY' THEN 2 ELSE 3 END) AS BIGINT) AS word_edits, CAST(count(*) * 3 AS BIGINT) AS words FROM s""")
+  WHEN seg = 'MACHINERY' THEN 2 ELSE 3 END) AS BIGINT) AS word_edits, CAST(count(*) * 3 AS BIGINT) AS words,
+ char_edits / CAST(chars AS DOUBLE) AS cer, word_edits / CAST(words AS DOUBLE) AS wer FROM s""")
 def _(t):
-    return evaluate.error_rates(names_only(t)).drop("cer", "wer")
+    return evaluate.error_rates(names_only(t))
 
 
-@query("field_report", "EVL-03 EVL-04 EVL-05 EVL-06 JOI-16", f"""
-WITH {_EVAL}, n AS (SELECT *, levenshtein(lower(full_name), lower(name12)) / CAST(greatest(length(full_name), length(name12)) AS DOUBLE) AS d FROM s),
+_FIELD_COUNTS = f"""{_EVAL}, n AS (SELECT *, levenshtein(lower(full_name), lower(name12)) / CAST(greatest(length(full_name), length(name12)) AS DOUBLE) AS d FROM s),
 f AS (SELECT nat, doc_type, seg, status, conf, unnest(['student_name', 'parent_name', 'date_of_birth', 'marks', 'percentage', 'community']) AS field,
  unnest([true, true, true, true, true, seg <> 'FURNITURE']) AS known,
  unnest([pname IS NOT NULL, nat < 20, true, true, true, true]) AS found,
- unnest([pname IS NOT NULL AND (seg IN ('BUILDING', 'MACHINERY') OR d <= 0.15), nat < 20, dob = dob12, nat >= 5, true, true]) AS good FROM n),
+ unnest([pname IS NOT NULL AND (seg IN ('BUILDING', 'MACHINERY') OR d <= 0.15), nat < 20, dob = dob12, nat >= 5, nat < 10, true]) AS good FROM n),
 g AS (SELECT *, field = 'parent_name' AND doc_type = '10th_marksheet' AS gap FROM f),
 r AS (SELECT field, count_if(gap) AS not_applicable, count_if(known AND NOT gap) AS evaluated, count_if(known AND found AND good AND NOT gap) AS correct,
  count_if(known AND found AND NOT good AND NOT gap) AS incorrect, count_if(known AND NOT found AND NOT gap) AS not_detected,
- count_if(known AND found AND NOT gap AND (status = 'NEEDS_REVIEW' OR conf < 70)) AS needs_review FROM g GROUP BY field)
+ count_if(known AND found AND NOT gap AND (status = 'NEEDS_REVIEW' OR conf < 70)) AS needs_review FROM g GROUP BY field)"""
+
+
+@query("field_report", "EVL-03 EVL-04 EVL-05 EVL-06 JOI-16", f"""
+WITH {_FIELD_COUNTS}
 SELECT field, not_applicable, evaluated, correct, incorrect, not_detected, needs_review,
  CAST(floor(correct / CAST(evaluated AS DOUBLE) * 100.0 + 0.5) AS BIGINT) AS accuracy,
- CASE WHEN correct + incorrect > 0 THEN CAST(floor(correct / CAST(correct + incorrect AS DOUBLE) * 100.0 + 0.5) AS BIGINT) END AS "precision" FROM r
-WHERE field <> 'percentage'""")
+ CASE WHEN correct + incorrect > 0 THEN CAST(floor(correct / CAST(correct + incorrect AS DOUBLE) * 100.0 + 0.5) AS BIGINT) END AS "precision", accuracy AS recall FROM r""")
 def _(t):
+    return _report(t)
+
+
+def _report(t):
     pairs = evaluate.aligned(truth(t), predicted(t), "doc_id", _FIELDS, ["doc_type"])
     status = predicted(t).select("doc_id", "confidence", evaluate.predicted_status(F.col("student_name"), F.col("confidence")).alias("status"))
-    report = evaluate.field_report(pairs.join(status, "doc_id"), ["field"])
-    return report.where(F.col("field") != "percentage").drop("recall")
+    return evaluate.field_report(pairs.join(status, "doc_id"), ["field"])
 
 
 @query("calibration", "EVL-07", f"""
@@ -301,12 +307,10 @@ def _(t):
 
 
 @query("overall_accuracy", "EVL-03", f"""
-WITH {_EVAL} SELECT CAST(count(*) AS BIGINT) AS evaluated, count_if(dob = dob12) AS correct,
- CAST(floor(count_if(dob = dob12) / CAST(count(*) AS DOUBLE) * 100.0 + 0.5) AS BIGINT) AS accuracy FROM s""")
+WITH {_FIELD_COUNTS} SELECT CAST(sum(evaluated) AS BIGINT) AS evaluated, CAST(sum(correct) AS BIGINT) AS correct,
+ CAST(floor(sum(correct) / CAST(sum(evaluated) AS DOUBLE) * 100.0 + 0.5) AS BIGINT) AS accuracy FROM r""")
 def _(t):
-    pairs = evaluate.aligned(truth(t), predicted(t), "doc_id", ["date_of_birth"], ["doc_type"]).withColumns(
-        {"status": F.lit("HIGH_CONFIDENCE"), "confidence": F.lit(90)})
-    return evaluate.overall_accuracy(evaluate.field_report(pairs, ["field"]))
+    return evaluate.overall_accuracy(_report(t))
 
 
 @query("case_agreement", "EVL-09", """
