@@ -84,3 +84,40 @@ def test_licenses_of_wrapped_paragraphs(spark):
     got = {r.doc_id: (r.families, r.n_paragraphs, r.n_license_paragraphs) for r in licenses.scan(docs).collect()}
     assert got == dict(enumerate(texts.values()))
     assert max(len(n.split()) for notices in licenses.NOTICES.values() for n in notices) <= licenses.WINDOW - licenses.STEP + 1
+
+
+# Everyday notices, none of them written by the generator of training rows, and sentences that are none.
+EVERYDAY = {
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa", "Licensed under GPLv3.": "gpl",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "gpl", "Apache 2.0 license": "apache", "SPDX-License-Identifier: GPL-2.0-only": "gpl",
+    "CC BY-SA 3.0": "cc-by-sa", "This project is MIT licensed.": "mit", "Distributed under the Boost Software License, Version 1.0. (See file)": "boost",
+    "Licensed under the EUPL, Version 1.2": "eupl", "MIT OR Apache-2.0": "apache,mit", "SPDX-License-Identifier: MIT OR Apache-2.0": "apache,mit",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS": "mit",
+    "Copyright (c) 2020 Example Corp. All rights reserved.": "proprietary", "© 2021 Foo. All rights reserved.": "proprietary", "One.\nAll rights reserved.\nTwo": "proprietary",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by", "Licensed under CC BY-NC-ND 4.0.": "cc-by-nc-nd",
+    "This library is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl", "Licensed under the GNU Affero General Public License, version 3.": "agpl",
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "apache,mit", "Mozilla Public License Version 2.0": "mpl",
+    "CC0 1.0 Universal": "cc0", "zlib License": "zlib", "ISC License": "isc", "This is free and unencumbered software released into the public domain.": "unlicense",
+    "She fought for women's rights and wanted all rights reserved to men opened.": "", "You may obtain a copy of the License at the school office.": "",
+    "The MIT students won the apache contest with a license to drive.": "", "The software is provided to schools without any kind of warranty by the vendor.": "",
+    "General public access to the library is licensed by the city.": "", "The Apache helicopter landed.": "", "The public domain": "",
+    "He was given a copy of the software free of charge by a friend.": "", "In the lesser known version of the story, the general wins.": "",
+    "Redistribution of wealth was permitted in some form by the source.": "", "An eclipse of the moon is public and free.": "",
+}
+
+
+def test_licenses_of_everyday_texts(spark):
+    rows = list(enumerate(EVERYDAY)) + [(900, "word " * 30_000 + "Licensed under the MIT license."), (901, None), (902, "")] + [(903, "CC BY-SA 3.0")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS part", "'x' AS family", "'x' AS _scores", "'x' AS k", "'x' AS row")
+    got = {r.doc_id: r.families for r in licenses.scan(docs).collect()}
+    wrong = {t: got[i] for i, t in enumerate(EVERYDAY) if got[i] != EVERYDAY[t]}
+    assert not wrong and (got[900], got[901], got[902], got[903]) == ("mit", "", "", "cc-by-sa") and len(got) == len(EVERYDAY) + 4
+
+
+def test_license_query_equals_plain_confirmation(spark, sf_dir, rows_of_docs):
+    """The registered query: every confirmed family has a notice with its own words in the text, and no planted notice is lost."""
+    planted = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary",
+               "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache"}
+    want = {i: {planted[line] for line in (t or "").split("\n") if line in planted} for i, t in rows_of_docs}
+    got = {r.doc_id: set(filter(None, r.families.split(","))) for r in QUERIES["op1_license_scan"](spark, sf_dir).collect()}
+    assert got == want and sum(map(bool, want.values())) > 2
