@@ -100,10 +100,15 @@ def stage_of(raw: Column) -> Column:
 
 
 def with_stage_defaults(apps: DataFrame, column: str = "lifecycle_stage") -> DataFrame:
-    """Label, owner and next action of the stage; unknown stages keep NULL."""
-    table = apps.sparkSession.createDataFrame(
-        STAGE_DEFAULTS, "stage string, stage_label string, who_must_act string, next_action string")
-    return apps.withColumn("stage", stage_of(F.col(column))).join(table, "stage", "left")
+    """Label, owner and next action of the stage; unknown stages keep NULL.
+
+    Fixed values are looked up in the row, as a join would gather the applications of each of a few stages in one task.
+    """
+    names = ["stage_label", "who_must_act", "next_action"]
+    table = F.create_map(*[c for stage, *values in STAGE_DEFAULTS for c in (
+        F.lit(stage), F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)]))])
+    known = F.element_at(table, F.col("stage"))
+    return apps.withColumn("stage", stage_of(F.col(column))).withColumns({n: known[n] for n in names})
 
 
 def current_state(history: DataFrame) -> DataFrame:
