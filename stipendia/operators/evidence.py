@@ -113,7 +113,7 @@ def names_by_position(lines: DataFrame) -> DataFrame:
         "doc_id", "line_no", "text", "confidence", (F.col("bbox.x0") / F.col("_w")).alias("x0"),
         (F.col("bbox.x1") / F.col("_w")).alias("x1"), (F.col("bbox.y0") / F.col("_h")).alias("y0"),
         (F.col("bbox.y1") / F.col("_h")).alias("y1"))
-    rows = rows.withColumn("mid", (F.col("y0") + F.col("y1")) / 2).withColumn("clean", candidate_text(F.col("text")))
+    rows = rows.withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
 
     head = matches(F.col("text"), _HEADER) & (F.col("mid") < 0.28)
     label = matches(F.col("text"), _LABEL)
@@ -135,6 +135,8 @@ def names_by_position(lines: DataFrame) -> DataFrame:
     tall = F.greatest(F.lit(0.005), F.col("label.y1") - F.col("label.y0"))
     below = placed.where((F.col("line_no") != F.col("label.line_no")) & drop.between(-0.01, tall * 4.0)
                          & (F.col("x0") <= F.col("label.x1") + 0.50) & (F.col("x1") >= F.col("label.x0") - 0.20))
+    # only lines in the right place are cleaned
+    below = below.withColumn("clean", candidate_text(F.col("text")))
     below = below.withColumn("score", candidate_score(F.col("clean"), F.col("clean"), True, F.col("confidence")))
     below = latest_by(below.where(F.col("score") >= 65).withColumn("_early", -F.col("line_no")), ["doc_id"],
                       ["score", "_early"], ["clean", "score"])
@@ -149,7 +151,7 @@ def names_by_position(lines: DataFrame) -> DataFrame:
     bottom = F.coalesce(F.least(F.lit(0.95), F.coalesce("lower", "subject") + 0.02), F.lit(0.50))
     inside = rows.join(band.select("doc_id", top.alias("top"), bottom.alias("bottom")), "doc_id").where(
         F.col("mid").between(F.col("top"), F.col("bottom")) & (F.col("x0") <= 0.95) & (F.col("x1") >= 0.05)
-        & ~matches(F.col("text"), _NOT_NAME) & present(F.col("clean")))
+        & ~matches(F.col("text"), _NOT_NAME)).withColumn("clean", candidate_text(F.col("text"))).where(present(F.col("clean")))
     centred = F.abs(F.col("mid") - (F.col("top") + F.col("bottom")) / 2) <= F.greatest(
         F.lit(0.01), (F.col("bottom") - F.col("top")) / 2) * 0.6
     base = candidate_score(F.col("clean"), F.col("clean"), False, F.col("confidence"))
