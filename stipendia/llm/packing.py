@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, id_
         codec, end = tokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1))):
                 ids += end
                 total, at, piece = len(ids) // 4, 0, 0
                 while at < total:

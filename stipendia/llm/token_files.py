@@ -78,7 +78,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col:
                 ("payload", pa.binary())])
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                for doc, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1))):
                     waiting.append((doc, number, 0, ids + end))
                     size, number = size + len(ids) // 4 + 1, number + 1
                 if size >= BLOCK * LANES:

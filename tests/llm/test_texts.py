@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from stipendia.llm import bpe, langid, licenses, packing, pii, quality_rules, token_files
+from stipendia.llm import bpe, langid, licenses, packing, pii, quality_rules, token_files, tokens
 from stipendia.llm.common import cut_safely, shared_folder
 from stipendia.llm.queries import QUERIES, SQL
 from stipendia.llm.tokens import PartTokenizer
@@ -76,6 +77,23 @@ def test_part_tokenizer(text):
     assert codec.encode([text, None, text]) == [want, b"", want]
 
 
+def test_part_tokenizer_takes_columns(monkeypatch):
+    """Whole columns in, whatever white space, marks and copies they hold, also while parts are forgotten and cut in small groups."""
+    pick = np.random.default_rng(5)
+    marks = ["a", "bc", "é", "日本", "don't", "x" * 70, "12", "<|endoftext|>", "\x00", "\x1c", "\xa0", "\u2003"]
+    blanks = [" ", "\n", "\t", "  ", " \n", "\n\n", "\r\n", "\x0b", "\f", ""]
+    few = lambda k: "".join(pick.choice(marks[:k]) + pick.choice(blanks[:k]) for _ in range(pick.integers(0, 30)))
+    texts = [t for i in range(300) for t in (few(3), few(8), few(12), " " * (i % 3), "\n" + few(5), None)]
+    monkeypatch.setattr(tokens, "_TOGETHER", 3_000)
+    monkeypatch.setattr(tokens, "_JOINED", 3)
+    monkeypatch.setattr(tokens, "_STRINGS", 2)
+    monkeypatch.setattr(tokens, "_REMEMBERED", 40)
+    codec = PartTokenizer(JSON)
+    want = [np.array(codec.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert codec.encode(pa.array(texts)) == want and codec.encode(pa.array(texts).slice(7, 900)) == want[7:907]
+    assert len(codec.known) < 2_000 and codec.encode(pa.array([], pa.string())) == [] and codec.encode([None]) == [b""]
+
+
 def test_token_files(spark, odd, empty, rows_of_docs, sf_dir):
     library, start = PartTokenizer(JSON).library, 0
     got = {r.doc_id: r for r in QUERIES["op7_token_files"](spark, sf_dir).collect()}
