@@ -20,7 +20,7 @@ def tokens(text: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Distinct words of two or more characters that are no stop words, in order of first use."""
     stop = F.array(*[F.lit(w) for w in lexicon.STOP_WORDS])
-    return F.array_except(F.filter(word_list(text), lambda w: F.length(w) >= 2), stop)
+    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit(r"\w\w+"), F.lit(0)), stop)
 
 
 def query_key(text: Column) -> Column:

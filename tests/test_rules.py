@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from stipendia.functions.scalars import as_instant
-from stipendia.operators import documents, eligibility, fields, filters, intake, lifecycle, readiness, retrieval
+from stipendia.operators import documents, eligibility, fields, filters, frames, intake, lifecycle, readiness, retrieval
 
 PROFILE = ("student_id string, gender string, income long, category string, state string, district string, course string, disabled boolean, "
            "govt_school boolean, agri_labor boolean, parent_occupation string, armed_forces boolean, first_graduate boolean, quota_type string")
@@ -145,6 +145,20 @@ def test_answers_equal_brute_force(spark):
     assert got == {1: (4, 1.0), 2: (11, 0.95), 3: (1001, 0.833), 5: (1, 0.75), 7: (11, 1.0), 8: (1, 0.75)}
 
 
+def test_pairs_that_cannot_reach_the_threshold_are_not_compared(spark, monkeypatch):
+    """7 of 35 tokens shared is just enough; 5 of 20 and 20 is not, though the rarest tokens known hold one that is shared."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    corpus = [(1, " ".join(words("shared", 7)))] + [(100 + i, " ".join(words("often", 5) + words(f"other{i}x", 15))) for i in range(20)]
+    corpus = spark.createDataFrame([(*c, False, None, None) for c in corpus], "qa_id long, question string, generated boolean, state string, category string")
+    mixed = " ".join(w for i, s in enumerate(words("shared", 7)) for w in [*words(f"own{i}x", 4), s])
+    asked = spark.createDataFrame([(1, mixed), (2, " ".join(words("often", 5) + words("mine", 15)))], "query_id int, text string")
+    seen = []
+    monkeypatch.setattr(retrieval, "once", lambda df, *columns: seen.append(df) or frames.once(df, *columns))
+    rows = retrieval.best_answers(asked, corpus).collect()
+    assert [(r.query_id, r.qa_id, round(r.score, 6)) for r in rows] == [(1, 1, 0.2)]
+    assert [r.qa_id for r in seen[-1].collect()] == [1]
+
+
 def test_intake(spark):
     rows = spark.createDataFrame([(1, "c", "R1", "A", "a@x"), (2, "c", "R1", "B", "b@x"), (3, "c", "R2", "C", "c@x"), (4, "c", "R3", "D", "D@x"),
                                   (5, "c", "", "E", "e@x"), (6, "c", "R5", "F", "bad"), (7, "c", "R6", "G", "g@x")],
