@@ -51,12 +51,15 @@ def pending_label(open_items: Column) -> Column:
 
 def admin_table(apps: DataFrame, students: DataFrame, colleges: DataFrame, reviews: DataFrame,
                 tickets: DataFrame, verifications: DataFrame, deficiencies: DataFrame) -> DataFrame:
-    """One row per application with the latest review and ticket and its check counts."""
+    """One row per application with the latest review and ticket and its check counts.
+
+    What is keyed by student is joined first and what is keyed by application after it, so each key moves the rows once.
+    """
     items = deficiencies.groupBy("application_id").agg(count_if(F.col("status") == "OPEN", "open_items"))
     rows = (apps.join(students.select("student_id", "full_name", "course"), "student_id", "left")
+            .join(latest_ticket(tickets), "student_id", "left")
             .join(colleges.select("college_id", "college_name"), "college_id", "left")
             .join(latest_review(reviews), "application_id", "left")
-            .join(latest_ticket(tickets), "student_id", "left")
             .join(check_counts(verifications), "application_id", "left")
             .join(items, "application_id", "left"))
     return rows.select(

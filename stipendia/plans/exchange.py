@@ -39,9 +39,14 @@ def _application_sheet(t) -> DataFrame:
 
 
 def _named(t, rows: DataFrame) -> DataFrame:
-    apps = t.apps.select("application_id", "student_id", "college_id", "scheme_id", "academic_year")
-    return (rows.join(apps, "application_id", "left").join(_people(t).select("student_id", "full_name"), "student_id", "left")
-            .join(t.colleges.select("college_id", "college_name"), "college_id", "left").withColumn("scheme_name", F.col("scheme_id")))
+    """Rows of applications with the names of student and college.
+
+    The names are joined to the applications first: rows of theirs, the largest tables, are moved once.
+    """
+    apps = t.apps_raw.select("application_id", "student_id", "scheme_id", "academic_year")
+    named = (apps.join(t.students.select("student_id", "college_id", "full_name"), "student_id", "left")
+             .join(t.colleges.select("college_id", "college_name"), "college_id", "left"))
+    return rows.join(named, "application_id", "left").withColumn("scheme_name", F.col("scheme_id"))
 
 
 def _payment_sheet(t) -> DataFrame:
