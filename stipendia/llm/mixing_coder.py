@@ -1,240 +1,436 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
-Many blocks are coded side by side: every array below has one row a block
-(lane), and step t codes the t-th id of every lane, so numpy does the work
-and each block stays independent and starts from the same empty model.
+Many blocks are coded side by side: the arrays of a step have one entry a block
+(lane), and step t codes the t-th id of every lane, so numpy does the work and
+each block stays independent and starts from the same empty model.
 
 The ids last seen after the same two ids (order 2) and after the same id
 (order 1) are predictions; the one with the surer context is the guess.
 Whether it hits is one binary decision whose chance mixes three adaptive
 estimates: of the whole block (order 0), of the order-1 context and of the
-order-2 context, weighted by how well each did before.  On a miss the id
-itself follows: its upper bits in symbols of four under order-0 frequencies,
-the lowest bits, which are close to even, as they are.
-All arithmetic is on integers, so that every machine decodes alike.
+order-2 context, weighted by how well each did before.  The ids of the misses
+are known apart from the guesses, so they form a second stream: the upper six
+bits and the length of each under the order-0 frequencies of its block, which
+its header holds, and the lower bits, which are close to even, as they are.
+
+Words of 16 bits are coded.  All arithmetic on chances is on integers, so that
+every machine decodes alike.
+
+A block is: length of its frequencies (2 bytes, the highest bit set if an id has
+more than 16 bits), number of ids, their CRC-32 as little-endian unsigned 32-bit
+integers, number of misses, words of the misses'
+symbols, words of the hits (4 bytes each); frequencies of four bits, both
+strings of words, lower bits in words of 32.  An empty block ends after the
+check sum.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
 
-SLOTS = 11            # bits of a context slot
-CHANCE = 12           # bits of a probability
-RATE = 4              # adaptation of an estimate
-TOP, BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
-_LOW32 = np.uint64(0xFFFFFFFF)
-LEVELS = 3            # symbols of an id that have frequencies
-STEP, LIMIT = 12, 240  # growth of a symbol's count, and the count at which all of its context are halved  # growth of a nibble's count, and the sum at which counts are halved
-
-
-class _Coder:
-    """Carry-less range coder with one state a lane; encodes when ``data`` is None, else decodes."""
-
-    def __init__(self, lanes: int, room: int, data: list[bytes] | None = None):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.encoding = data is None
-        if data is None:
-            self.bytes = np.zeros((lanes, room), np.uint8)
-        else:
-            self.bytes = np.zeros((lanes, max(map(len, data)) + 8), np.uint8)
-            for row, value in zip(self.bytes, data):
-                row[:len(value)] = np.frombuffer(value, np.uint8)
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self._shift_in(np.arange(lanes))
-
-    def _shift_in(self, lanes: np.ndarray) -> None:
-        self.code[lanes] = ((self.code[lanes] << np.uint64(8)) | self.bytes[lanes, self.at[lanes]]) & _LOW32
-        self.at[lanes] += 1
-
-    def take(self, lanes, total) -> np.ndarray:
-        """Where in 0 .. total - 1 the coded value of each lane lies; narrows the range by ``total``."""
-        self.range[lanes] //= total
-        return np.minimum((((self.code[lanes] - self.low[lanes]) & _LOW32) // self.range[lanes]), total - np.uint64(1))
-
-    def narrow(self, lanes, start: np.ndarray, size, total) -> None:
-        """Code the part [start, start + size) of ``total``; None where ``take`` has divided already.  ``lanes`` is a
-        slice or an array of different numbers."""
-        span = self.range[lanes] if total is None else self.range[lanes] // total
-        low, span = (self.low[lanes] + start * span) & _LOW32, span * size
-        numbers = None
-        while True:
-            go = (low ^ (low + span)) < TOP
-            small = np.flatnonzero(~go & (span < BOTTOM))
-            if len(small):
-                span[small] = (~low[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-                go[small] = True
-            at = np.flatnonzero(go)
-            if not len(at):
-                break
-            if numbers is None:
-                numbers = np.arange(len(self.at))[lanes]
-            which = numbers[at]
-            part = low[at]
-            if self.encoding:
-                self.bytes[which, self.at[which]] = (part >> np.uint64(24)).astype(np.uint8)
-                self.at[which] += 1
-            else:
-                self._shift_in(which)
-            low[at] = (part << np.uint64(8)) & _LOW32
-            span[at] = (span[at] << np.uint64(8)) & _LOW32
-        self.low[lanes], self.range[lanes] = low, span
+SLOTS = 9                  # bits of a context slot
+CHANCE = 12                # bits of a probability
+ONE = (1 << CHANCE) - 1
+FIRST = 1 << (CHANCE - 2)  # chance before anything is known
+RATE = 4                   # adaptation of an estimate
+REVISED = 16               # steps after which weights and the order-0 chance are revised
+GROWTH = ONE >> RATE       # what a hit adds; with the rounding of shifts, chances stay between 15 and 4079
+TOTAL = 11                 # bits of the sum of a block's symbol frequencies
+EXACT = 6                  # upper bits of an id that its symbol holds
+TOGETHER = 64              # blocks whose lower bits are packed at once
+_HEAD, _MORE = struct.Struct("<HII"), struct.Struct("<III")
+# What the four bits of a frequency stand for, relative to the largest.
+_SCALE = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192])
+_LEVEL = np.searchsorted(_SCALE, np.arange(193))
+_MASKS = (1 << np.arange(33)) - 1
+_S16, _W16, _LOW16 = np.array(16, np.uint32), np.array(16, np.uint64), np.array(0xFFFF, np.uint64)
+
+
+class _Writer:
+    """Range encoder with one state a lane.  A carry stays in bit 16 of a word until ``finished``."""
+
+    def __init__(self, lanes: int, room: int):
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.words = np.zeros((lanes, room + 3), np.uint32)
+        self.flat, self.first = self.words.reshape(-1), np.arange(lanes) * (room + 3)
+        self.at = self.first.copy()
 
-    def reserve(self, n: int) -> None:
-        """Room for ``n`` more bytes in every lane."""
-        if self.encoding and int(self.at.max(initial=0)) + n > self.bytes.shape[1]:
-            self.bytes = np.pad(self.bytes, ((0, 0), (0, self.bytes.shape[1] + n)))
+    def shift(self, at: np.ndarray) -> None:
+        """Write a word of the lanes ``at``, whose range has become small."""
+        low, place = self.low[at], self.at[at]
+        self.flat[place] = low >> _W16
+        self.low[at] = (low & _LOW16) << _W16
+        self.range[at] <<= _S16
+        self.at[at] = place + 1
 
     def finished(self) -> list[bytes]:
-        self.reserve(4)
-        for _ in range(4):
-            self.bytes[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(24)).astype(np.uint8)
-            self.low = (self.low << np.uint64(8)) & _LOW32
-            self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.bytes, self.at.tolist())]
-
-
-class _Model:
-    """Tables of all lanes, each in one flat array."""
-
-    def __init__(self, lanes: int):
-        slots = lanes << SLOTS
-        self.base = np.arange(lanes, dtype=np.int64) << SLOTS
-        quarter = 1 << (CHANCE - 2)
-        self.guess = [np.zeros(slots, np.int32), np.zeros(slots, np.int32)]            # order 1, order 2
-        self.sure = [np.full(slots, quarter, np.int16), np.full(slots, quarter, np.int16)]
-        self.usual = np.full(lanes, quarter, np.int32)
-        self.weight = np.full((3, lanes), 64, np.int32)
-        self.counts = [np.ones((lanes * 16 ** level, 16), np.uint8) for level in range(LEVELS)]
-
-
-# Sums of the first n counts, by one product: exact, as sums stay far below 2**24.
-_UPTO = np.triu(np.ones((16, 16), np.float32))
-
-
-def _hash(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    x = (a * 0x9E3779B1 + b * 0x85EBCA6B + 0x27D4EB2F) & 0xFFFFFFFF
-    return ((x ^ (x >> 15)) * 0x2C1B3C6D >> 16) & ((1 << SLOTS) - 1)
-
-
-def _run(coder: _Coder, lengths: np.ndarray, bits: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code step by step; lanes are sorted by falling length, so the active ones are a prefix."""
-    lanes_all, steps = len(lengths), int(lengths.max(initial=0))
-    model = _Model(lanes_all)
-    out = np.zeros((lanes_all, steps), np.int32) if ids is None else ids
-    before, earlier = np.zeros(lanes_all, np.int64), np.zeros(lanes_all, np.int64)
-    full, one = np.uint64(1 << CHANCE), (1 << CHANCE) - 1
-    active_at = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    for t in range(steps):
-        n = int(active_at[t])
-        coder.reserve(16)
-        lanes, weight = slice(0, n), model.weight[:, :n]
-        slots = [model.base[:n] + _hash(before[:n], 0), model.base[:n] + _hash(before[:n], earlier[:n] + 1)]
-        first, second = model.guess[0][slots[0]], model.guess[1][slots[1]]
-        parts = [model.usual[:n], model.sure[0][slots[0]].astype(np.int32), model.sure[1][slots[1]].astype(np.int32)]
-        guess = np.where(parts[2] >= parts[1], second, first)
-        mixed = (weight[0] * parts[0] + weight[1] * parts[1] + weight[2] * parts[2]) // (weight[0] + weight[1] + weight[2])
-        chance = np.minimum(np.maximum(mixed, 32), one - 31).astype(np.uint64)
-        if coder.encoding:
-            value = out[:n, t].astype(np.int64)
-            hit = value == guess
-            coder.narrow(lanes, np.where(hit, np.uint64(0), chance), np.where(hit, chance, full - chance), full)
-        else:
-            hit = coder.take(lanes, full) < chance
-            coder.narrow(lanes, np.where(hit, np.uint64(0), chance), np.where(hit, chance, full - chance), None)
-            value = guess.astype(np.int64)
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            value[missed] = _literal(coder, model, missed, value[missed], bits)
-        if not coder.encoding:
-            out[:n, t] = value
-        goal = np.where(hit, one, 0)
-        for k in range(3):
-            weight[k] += ((one - np.abs(goal - parts[k])) - (weight[k] << 4)) >> 7
-        np.maximum(weight, 1, out=weight)
-        model.usual[:n] += (goal - parts[0]) >> 6
-        for order, said in ((0, first), (1, second)):
-            good = np.where(said == value, one, 0)
-            model.sure[order][slots[order]] += ((good - parts[1 + order]) >> RATE).astype(np.int16)
-            model.guess[order][slots[order]] = value
-        earlier[:n], before[:n] = before[:n], value
+        every = np.arange(len(self.at))
+        self.shift(every)
+        self.shift(every)
+        used = (self.at - self.first).tolist()
+        words = self.words[:, :max(used, default=0)]
+        while (words >> 16).any():
+            words[:, :-1] = (words[:, :-1] & 0xFFFF) + (words[:, 1:] >> 16)
+            words[:, -1] &= 0xFFFF
+        words = words.astype("<u2")
+        return [row[:n].tobytes() for row, n in zip(words, used)]
+
+
+class _Reader:
+    """Range decoder; ``rest`` is the coded value less the start of the range."""
+
+    def __init__(self, data: list[bytes]):
+        room = max(map(len, data), default=0) // 2 + 3
+        words = np.zeros((len(data), room), "<u2")
+        for row, value in zip(words, data):
+            row[:len(value) // 2] = np.frombuffer(value, "<u2")
+        self.flat = words.reshape(-1).astype(np.uint32)
+        self.rest, self.range = (words[:, 0].astype(np.uint32) << 16) | words[:, 1], np.full(len(data), 0xFFFFFFFF, np.uint32)
+        self.at = np.arange(len(data)) * room + 2
+
+    def shift(self, at: np.ndarray) -> None:
+        place = self.at[at]
+        self.rest[at] = (self.rest[at] << _S16) | self.flat.take(place, mode="clip")
+        self.range[at] <<= _S16
+        self.at[at] = place + 1
+
+
+def _prefixes(counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first step, step after the last, lanes that have these steps) for lanes sorted by falling count."""
+    steps = int(counts.max(initial=0))
+    active = np.searchsorted(-counts, -np.arange(steps), side="left")
+    cuts = [0, *(np.flatnonzero(np.diff(active)) + 1).tolist(), steps] if steps else [0]
+    return [(a, b, int(active[a])) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _hits(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray, misses: np.ndarray | None, first: np.ndarray | None) -> np.ndarray:
+    """Code which guesses hit, step by step; lanes are sorted by falling length, so the active ones are a prefix.
+
+    ``ids`` has one row a step.  A writer reads it; a reader fills it, with the next of ``misses`` (those of a lane from
+    ``first`` on) where no guess hits.  Gives the places of the misses, one row a step.
+    """
+    writing, (steps, lanes), kind = isinstance(coder, _Writer), ids.shape, ids.dtype.type
+    missed = np.zeros((steps, lanes), bool)
+    # An entry of the table is how sure a context is, above the id last seen in it; order 1 in the first half.
+    half = 4 * ids.itemsize
+    table = np.full(2 * lanes << SLOTS, FIRST << half, kind)
+    places = (np.arange(2 * lanes, dtype=kind) << kind(SLOTS)).reshape(2, lanes)
+    usual, trust = np.full(lanes, FIRST, np.int32), np.full((3, lanes), 64, np.int32)
+    last, earlier = np.zeros(lanes, kind), np.zeros(lanes, kind)
+    # Arrays of no dimensions cost numpy less than plain numbers, and arrays of one type less than of several.
+    factor, mix, top = (np.array(v, kind) for v in (0x9E3779B1 if half == 16 else 0x9E3779B97F4A7C15, 7, 2 * half - SLOTS))
+    up, low_half, rate, grow = (np.array(v, kind) for v in (half, (1 << half) - 1, RATE, GROWTH))
+    eight, chance_bits, limit = np.array(8, kind), np.array(CHANCE, np.uint32), np.array(0x10000, np.uint32)
+    for since, until, n in _prefixes(lengths):
+        place, span, before, seen = places[:, :n].copy(), coder.range[:n], earlier[:n], last[:n]
+        low, rest, here = (coder.low[:n], None, None) if writing else (None, coder.rest[:n], first[:n])
+        hashes, entries, sure, terms, weights = (np.empty((2, n), kind) for _ in range(5))
+        one_hash, two_hash, one_entry, two_entry, one_term, two_term = *hashes, *entries, *terms
+        all_entries, all_sure, slots, same = entries.reshape(-1), sure.reshape(-1), np.empty(2 * n, np.int64), np.empty((2, n), bool)
+        by_order, small = slots.reshape(2, n), np.empty(n, bool)
+        guess, mixed, base, other = (np.empty(n, kind) for _ in range(4))
+        chance, bound, spare, away = (np.empty(n, np.uint32) for _ in range(4))
+        apart = away if kind is np.uint32 else np.empty(n, kind)
+
+        def weigh():
+            share = (trust[1:, :n] << 8) // trust[:, :n].sum(axis=0)
+            weights[:] = share
+            base[:] = (256 - share[0] - share[1]) * usual[:n]
+
+        weigh()
+        for t in range(since, until):
+            value, miss = ids[t, :n], missed[t, :n]
+            np.multiply(seen, factor, one_hash)
+            np.bitwise_xor(one_hash, before, two_hash)
+            np.right_shift(one_hash, mix, before)
+            np.right_shift(hashes, top, hashes)
+            np.add(place, hashes, hashes)
+            np.copyto(by_order, hashes, "unsafe")
+            table.take(slots, None, all_entries, "clip")
+            np.right_shift(entries, up, sure)
+            np.maximum(one_entry, two_entry, guess)   # that of the surer context
+            np.bitwise_and(guess, low_half, guess)
+            np.multiply(weights, sure, terms)
+            np.add(one_term, two_term, mixed)
+            np.add(mixed, base, mixed)
+            np.right_shift(mixed, eight, chance, casting="unsafe")
+            np.right_shift(span, chance_bits, bound)
+            np.multiply(bound, chance, bound)
+            if writing:
+                np.not_equal(value, guess, miss)
+                np.copyto(away, miss)
+                np.multiply(bound, away, spare)
+                np.add(low, spare, low)
+            else:
+                np.greater_equal(rest, bound, miss)
+                np.copyto(away, miss)
+                np.multiply(bound, away, spare)
+                np.subtract(rest, spare, rest)
+                if apart is not away:
+                    np.copyto(apart, miss)
+                misses.take(here, None, other, "clip")
+                np.add(here, miss, here)
+                np.subtract(other, guess, other)
+                np.multiply(other, apart, other)
+                np.add(other, guess, value)
+            # the range of a hit is the bound, that of a miss the rest
+            np.subtract(span, bound, span)
+            np.subtract(span, bound, span)
+            np.multiply(span, away, span)
+            np.add(span, bound, span)
+            np.less(span, limit, small)
+            at = small.nonzero()[0]
+            if len(at):
+                coder.shift(at)
+            if t % REVISED == REVISED - 1:
+                goal = np.where(miss, 0, ONE)
+                for k, said in enumerate((usual[:n], sure[0].astype(np.int32), sure[1].astype(np.int32))):
+                    trust[k, :n] += ((ONE - np.abs(goal - said)) - (trust[k, :n] << 4)) >> 7
+                np.maximum(trust, 1, out=trust)
+                hits = REVISED - missed[t + 1 - REVISED:t + 1, :n].sum(axis=0, dtype=np.int32)
+                usual[:n] += (hits * (ONE // REVISED) - usual[:n]) >> 2
+                np.maximum(usual, 16, out=usual)
+                weigh()
+            np.bitwise_and(entries, low_half, entries)
+            np.equal(entries, value, same)
+            np.right_shift(sure, rate, terms)
+            np.subtract(sure, terms, sure)
+            np.copyto(terms, same)
+            np.multiply(terms, grow, terms)
+            np.add(sure, terms, sure)
+            np.left_shift(sure, up, sure)
+            np.bitwise_or(sure, value, sure)
+            table[slots] = all_sure
+            seen = value
+        last[:n] = seen
+    return missed
+
+
+def _symbols(values: np.ndarray) -> np.ndarray:
+    """The symbol of each id: ids below 2**EXACT themselves, then length and upper bits."""
+    left = np.maximum(np.frexp(values.astype(np.float64))[1] - EXACT, 0)
+    return (values.astype(np.int64) >> left) + (left << (EXACT - 1))
+
+
+_SYMBOLS = int(_symbols(np.array([2**31 - 1]))[0]) + 1
+_LEFT = np.maximum((np.arange(_SYMBOLS + 1) >> (EXACT - 1)) - 1, 0)             # lower bits of its id that a symbol leaves
+_FLOOR = (np.arange(_SYMBOLS + 1) - (_LEFT << (EXACT - 1))) << _LEFT            # the least id of a symbol
+
+
+def _sizes(levels: np.ndarray) -> np.ndarray:
+    """Frequencies with the sum 2**TOTAL from the four-bit ones; at least 1 for each symbol that occurs."""
+    scaled = _SCALE[levels]
+    spare = (1 << TOTAL) - np.count_nonzero(scaled, axis=1)
+    sizes = (scaled > 0) + scaled * spare[:, None] // np.maximum(scaled.sum(axis=1), 1)[:, None]
+    sizes[np.arange(len(sizes)), scaled.argmax(axis=1)] += (1 << TOTAL) - sizes.sum(axis=1)
+    return sizes
+
+
+def _entries(sizes: np.ndarray) -> np.ndarray:
+    """Start of each symbol above its size."""
+    return ((np.cumsum(sizes, axis=1) - sizes) << 16 | sizes).astype(np.uint32)
+
+
+def _code_symbols(symbols: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Words of the symbols of each lane; ``symbols`` has one row a step, lanes are sorted by falling count."""
+    lanes, width = sizes.shape
+    packed = _entries(sizes).reshape(-1)
+    coder = _Writer(lanes, len(symbols))
+    total, limit, size_bits, four = (np.array(v, np.uint32) for v in (TOTAL, 0x10000, 0xFFFF, 4))
+    for since, until, n in _prefixes(counts):
+        rows, span, low, at = np.arange(n) * width, coder.range[:n], coder.low[:n], coder.at[:n]
+        entry, part, small, by, word = np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, bool), np.empty(n, np.uint32), np.empty(n, np.uint64)
+        spot = np.empty(n, np.int64)
+        for t in range(since, until):
+            np.add(rows, symbols[t, :n], spot)
+            packed.take(spot, None, entry, "clip")
+            np.right_shift(span, total, span)
+            np.right_shift(entry, _S16, part)
+            np.multiply(part, span, part)
+            np.add(low, part, low)
+            np.bitwise_and(entry, size_bits, entry)
+            np.multiply(span, entry, span)
+            # write a word where the range is small
+            np.less(span, limit, small)
+            np.copyto(by, small)
+            np.left_shift(by, four, by)
+            np.right_shift(low, _W16, word)
+            coder.flat[at] = word
+            np.add(at, small, at)
+            np.left_shift(span, by, span)
+            np.left_shift(word, _W16, word)
+            np.multiply(word, small, word)
+            np.subtract(low, word, low)
+            np.left_shift(low, by, low)
+    return coder.finished()
+
+
+def _read_symbols(data: list[bytes], counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The symbols, one row a step."""
+    lanes, width = sizes.shape
+    packed = _entries(sizes).reshape(-1)
+    found = np.repeat(np.tile(np.arange(width, dtype=np.uint16), lanes), sizes.reshape(-1))  # the symbol at each place of 2**TOTAL
+    coder = _Reader(data)
+    out = np.zeros((int(counts.max(initial=0)), lanes), np.uint16)
+    total, limit, size_bits, four = (np.array(v, np.uint32) for v in (TOTAL, 0x10000, 0xFFFF, 4))
+    top = np.array((1 << TOTAL) - 1, np.float64)
+    for since, until, n in _prefixes(counts):
+        rows, tables, span, rest, at = np.arange(n) * width, np.arange(n) << TOTAL, coder.range[:n], coder.rest[:n], coder.at[:n]
+        entry, part, small, by = np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, bool), np.empty(n, np.uint32)
+        share, spot = np.empty(n, np.float64), np.empty(n, np.int64)
+        for t in range(since, until):
+            symbol = out[t, :n]
+            np.right_shift(span, total, span)
+            np.true_divide(rest, span, share)      # its whole part is exact: both are below 2**32
+            np.minimum(share, top, share)
+            np.copyto(spot, share, casting="unsafe")
+            np.add(spot, tables, spot)
+            found.take(spot, None, symbol, "clip")
+            np.add(rows, symbol, spot)
+            packed.take(spot, None, entry, "clip")
+            np.right_shift(entry, _S16, part)
+            np.multiply(part, span, part)
+            np.subtract(rest, part, rest)
+            np.bitwise_and(entry, size_bits, entry)
+            np.multiply(span, entry, span)
+            # read a word where the range is small
+            np.less(span, limit, small)
+            np.copyto(by, small)
+            np.left_shift(by, four, by)
+            coder.flat.take(at, None, part, "clip")
+            np.multiply(part, small, part)
+            np.add(at, small, at)
+            np.left_shift(span, by, span)
+            np.left_shift(rest, by, rest)
+            np.bitwise_or(rest, part, rest)
     return out
 
 
-def _literal(coder: _Coder, model: _Model, lanes: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-    """An id of ``bits`` bits: ``LEVELS`` symbols of four bits, each under its counts in the context of those before it,
-    and the remaining bits evenly, at most twelve at a time."""
-    each, row, got = np.arange(len(lanes)), lanes, np.zeros(len(lanes), np.int64)
-    left = bits
-    for level in range(LEVELS):
-        left -= 4
-        counts = model.counts[level][row].astype(np.float32)
-        upto = counts @ _UPTO
-        total = upto[:, -1].astype(np.uint64)
-        if coder.encoding:
-            symbol = (value >> left) & 15
-        else:
-            place = coder.take(lanes, total).astype(np.float32)
-            symbol = (upto <= place[:, None]).sum(axis=1)
-        size = counts[each, symbol]
-        start = upto[each, symbol] - size
-        coder.narrow(lanes, start.astype(np.uint64), size.astype(np.uint64), total if coder.encoding else None)
-        grown = size + STEP
-        heavy = np.flatnonzero(grown > LIMIT)
-        if len(heavy):
-            model.counts[level][row[heavy]] = (counts[heavy].astype(np.uint8) + np.uint8(1)) >> 1
-            grown[heavy] = (grown[heavy] + 1) // 2
-        model.counts[level][row, symbol] = grown
-        row, got = row * 16 + symbol, got << 4 | symbol
-    while left:
-        width = min(left, 12)
-        left -= width
-        total = np.uint64(1 << width)
-        if coder.encoding:
-            symbol = (value >> left) & ((1 << width) - 1)
-        else:
-            symbol = coder.take(lanes, total).astype(np.int64)
-        coder.narrow(lanes, symbol.astype(np.uint64), np.uint64(1), total if coder.encoding else None)
-        got = got << width | symbol
-    return got
+def _pack(values: np.ndarray, widths: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The lower ``widths`` bits of the values, behind each other in 32-bit words for each lane; lanes lie behind each other."""
+    out: list[bytes] = []
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for lane in range(0, len(counts), TOGETHER):
+        some = counts[lane:lane + TOGETHER]
+        a, b = edges[lane], edges[lane + len(some)]
+        width = widths[a:b]
+        ends = np.cumsum(width)
+        bits = np.diff(np.concatenate([[0], ends])[edges[lane:lane + len(some) + 1] - a])
+        words = (bits + 31) >> 5
+        first = np.cumsum(words) - words
+        at = ends - width + np.repeat((first << 5) - (np.cumsum(bits) - bits), some)
+        packed = np.zeros(int(words.sum()) + 2, np.int64)   # ids without lower bits may end a word
+        if a < b:
+            part = (values[a:b] & _MASKS[width]) << (at & 31)
+            word = at >> 5
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            whole = np.bitwise_or.reduceat(part, heads)
+            packed[word[heads]] = whole & 0xFFFFFFFF
+            packed[word[heads] + 1] |= whole >> 32
+        packed = packed.astype("<u4")
+        out += [packed[x:x + k].tobytes() for x, k in zip(first.tolist(), words.tolist())]
+    return out
+
+
+def _unpack(data: list[bytes], widths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values whose lower bits ``_pack`` gives."""
+    out = np.zeros(len(widths), np.int64)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for lane in range(0, len(counts), TOGETHER):
+        some, parts = counts[lane:lane + TOGETHER], data[lane:lane + TOGETHER]
+        a, b = edges[lane], edges[lane + len(some)]
+        width = widths[a:b]
+        ends = np.cumsum(width)
+        starts = np.concatenate([[0], ends])[edges[lane:lane + len(some) + 1] - a]
+        words = np.array([len(d) // 4 for d in parts], np.int64)
+        if (words != (np.diff(starts) + 31) >> 5).any():
+            raise ValueError("a block of token ids lacks bits")
+        at = ends - width + np.repeat(((np.cumsum(words) - words) << 5) - starts[:-1], some)
+        stream = np.frombuffer(b"".join(d[:len(d) // 4 * 4] for d in parts) + bytes(8), "<u4").astype(np.int64)
+        word = at >> 5
+        out[a:b] = ((stream[word] | stream[word + 1] << 32) >> (at & 31)) & _MASKS[width]
+    return out
+
+
+def _head(block: np.ndarray, table: bytes, wide: bool) -> bytes:
+    return _HEAD.pack(len(table) | wide << 15, len(block), zlib.crc32(block.astype("<u4").tobytes()))
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (below 2**31) as: bits of an id (1 byte), number of ids, CRC-32 of the ids as little-endian
-    unsigned 32-bit integers (4 bytes each), coded ids.  An empty block has no coded part."""
-    if not blocks:
-        return []
-    bits = max(4 * LEVELS, max((int(b.max()).bit_length() for b in blocks if len(b)), default=0))
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    """The coded form of each block of ids below 2**31, whatever the others are."""
+    out = [b"" if len(b) else _head(b, b"", False) for b in blocks]
+    wide = [len(b) > 0 and int(b.max()) >= 1 << 16 for b in blocks]
+    for kind in sorted(set(wide)):
+        _encode(blocks, sorted((i for i, b in enumerate(blocks) if len(b) and wide[i] == kind), key=lambda i: -len(blocks[i])), kind, out)
+    return out
+
+
+def _encode(blocks: list[np.ndarray], order: list[int], wide: bool, out: list[bytes]) -> None:
+    """The blocks ``order``, all of ids of 16 bits or all with longer ones, by falling length."""
+    if not order:
+        return
     lengths = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), int(lengths.max(initial=0))), np.int32)
-    for row, i in zip(ids, order):
+    rows = np.zeros((len(order), int(lengths[0])), np.uint64 if wide else np.uint32)
+    for row, i in zip(rows, order):
         row[:len(blocks[i])] = blocks[i]
-    coder = _Coder(len(blocks), 2 * ids.shape[1])
-    _run(coder, lengths, bits, ids)
-    out: list[bytes] = [b""] * len(blocks)
-    for i, payload in zip(order, coder.finished()):
-        head = bytes([bits]) + len(blocks[i]).to_bytes(4, "little") + zlib.crc32(blocks[i].astype("<u4").tobytes()).to_bytes(4, "little")
-        out[i] = head + (payload if len(blocks[i]) else b"")
-    return out
+    coder = _Writer(len(order), int(lengths[0]))
+    missed = np.ascontiguousarray(_hits(coder, lengths, np.ascontiguousarray(rows.T), None, None).T)
+    hits, counts, values = coder.finished(), np.count_nonzero(missed, axis=1), rows[missed].astype(np.int64)
+    symbols = (_symbols(values) if wide else _symbols(np.arange(1 << 16)).take(values)).astype(np.uint16)
+    width = int(symbols.max(initial=0)) + 1
+    seen = np.bincount(np.repeat(np.arange(len(order)) * width, counts) + symbols, minlength=len(order) * width).reshape(-1, width)
+    levels = _LEVEL[-(-seen * _SCALE[-1] // np.maximum(seen.max(axis=1), 1)[:, None])]
+    ranked = np.argsort(-counts, kind="stable")
+    padded = np.zeros((len(order), int(counts.max())), np.uint16)
+    padded[np.arange(padded.shape[1]) < counts[:, None]] = symbols
+    coded = _code_symbols(np.ascontiguousarray(padded[ranked].T), counts[ranked], _sizes(levels[ranked]))
+    lower = _pack(values, _LEFT.take(symbols), counts)
+    nibbles = np.pad(levels, ((0, 0), (0, width % 2))).astype(np.uint8)
+    nibbles = nibbles[:, 0::2] | nibbles[:, 1::2] << 4
+    used = np.where(counts > 0, nibbles.shape[1] - (nibbles[:, ::-1] > 0).argmax(axis=1), 0)
+    for words, lane in zip(coded, ranked.tolist()):
+        i, words, table = order[lane], words if counts[lane] else b"", nibbles[lane, :used[lane]].tobytes()
+        out[i] = _head(blocks[i], table, wide) + _MORE.pack(int(counts[lane]), len(words) // 2, len(hits[lane]) // 2) + table + words + hits[lane] + lower[lane]
 
 
 def decode(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block whose check sum does not match raises ValueError."""
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(blocks)
-    sizes = [int.from_bytes(b[1:5], "little") for b in blocks]
-    for bits in sorted({b[0] for b in blocks}):
-        order = sorted((i for i, b in enumerate(blocks) if b[0] == bits and sizes[i]), key=lambda i: -sizes[i])
-        if order:
-            lengths = np.array([sizes[i] for i in order])
-            ids = _run(_Coder(len(order), 0, [blocks[i][9:] for i in order]), lengths, bits, None)
-            for row, i in zip(ids, order):
-                out[i] = row[:sizes[i]].astype("<u4")
-    for i, block in enumerate(blocks):
-        if zlib.crc32(out[i].tobytes()) != int.from_bytes(block[5:9], "little"):
+    heads = [_HEAD.unpack_from(b) for b in blocks]
+    for wide in sorted({h[0] >> 15 for h in heads}):
+        _decode(blocks, heads, sorted((i for i, h in enumerate(heads) if h[1] and h[0] >> 15 == wide), key=lambda i: -heads[i][1]), wide, out)
+    for ids, (_, _, crc) in zip(out, heads):
+        if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block of token ids does not match its check sum")
     return out
+
+
+def _decode(blocks: list[bytes], heads: list[tuple], order: list[int], wide: int, out: list[np.ndarray]) -> None:
+    if not order:
+        return
+    lengths, counts, parts = np.array([heads[i][1] for i in order]), np.zeros(len(order), np.int64), []
+    for lane, i in enumerate(order):
+        table = heads[i][0] & 0x7FFF
+        counts[lane], words, hits = _MORE.unpack_from(blocks[i], _HEAD.size)
+        cuts = np.cumsum([_HEAD.size + _MORE.size, table, 2 * words, 2 * hits]).tolist()
+        if counts[lane] > lengths[lane] or cuts[-1] > len(blocks[i]) or 2 * table > _SYMBOLS + 1:
+            raise ValueError("a block of token ids is damaged")
+        parts.append([blocks[i][a:b] for a, b in zip(cuts, cuts[1:] + [None])])
+    tables, words, hits, lower = zip(*parts)
+    nibbles = np.zeros((len(order), max(1, *map(len, tables))), np.uint8)
+    for row, table in zip(nibbles, tables):
+        row[:len(table)] = np.frombuffer(table, np.uint8)
+    levels = np.stack([nibbles & 15, nibbles >> 4], axis=2).reshape(len(order), -1)
+    ranked = np.argsort(-counts, kind="stable")
+    found = np.empty((len(order), int(counts.max())), np.uint16)
+    found[ranked] = _read_symbols([words[lane] for lane in ranked], counts[ranked], _sizes(levels[ranked])).T
+    symbols = found[np.arange(found.shape[1]) < counts[:, None]]
+    left = _LEFT.take(symbols)
+    values = _FLOOR.take(symbols) | _unpack(lower, left, counts)
+    ids = np.zeros((int(lengths[0]), len(order)), np.uint64 if wide else np.uint32)
+    _hits(_Reader(hits), lengths, ids, np.append(values, 0).astype(ids.dtype), np.cumsum(counts) - counts)
+    for row, i in zip(np.ascontiguousarray(ids.T).astype("<u4"), order):
+        out[i] = row[:heads[i][1]]
