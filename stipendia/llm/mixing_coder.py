@@ -238,7 +238,7 @@ def _code_symbols(symbols: np.ndarray, counts: np.ndarray, sizes: np.ndarray) ->
     """Words of the symbols of each lane; ``symbols`` has one row a step, lanes are sorted by falling count."""
     lanes, width = sizes.shape
     packed = _entries(sizes).reshape(-1)
-    coder = _Writer(lanes, len(symbols))
+    coder = _Writer(lanes, 3 * len(symbols) // 4 + 2)               # and a symbol less than twelve
     total, limit, size_bits, four = (np.array(v, np.uint32) for v in (TOTAL, 0x10000, 0xFFFF, 4))
     for since, until, n in _prefixes(counts):
         rows, span, low, at = np.arange(n) * width, coder.range[:n], coder.low[:n], coder.at[:n]
@@ -311,48 +311,38 @@ def _read_symbols(data: list[bytes], counts: np.ndarray, sizes: np.ndarray) -> n
 
 def _pack(values: np.ndarray, widths: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """The lower ``widths`` bits of the values, behind each other in 32-bit words for each lane; lanes lie behind each other."""
-    out: list[bytes] = []
-    edges = np.concatenate([[0], np.cumsum(counts)])
-    for lane in range(0, len(counts), TOGETHER):
-        some = counts[lane:lane + TOGETHER]
-        a, b = edges[lane], edges[lane + len(some)]
-        width = widths[a:b]
-        ends = np.cumsum(width)
-        bits = np.diff(np.concatenate([[0], ends])[edges[lane:lane + len(some) + 1] - a])
-        words = (bits + 31) >> 5
-        first = np.cumsum(words) - words
-        at = ends - width + np.repeat((first << 5) - (np.cumsum(bits) - bits), some)
-        packed = np.zeros(int(words.sum()) + 2, np.int64)   # ids without lower bits may end a word
-        if a < b:
-            part = (values[a:b] & _MASKS[width]) << (at & 31)
-            word = at >> 5
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-            whole = np.bitwise_or.reduceat(part, heads)
-            packed[word[heads]] = whole & 0xFFFFFFFF
-            packed[word[heads] + 1] |= whole >> 32
-        packed = packed.astype("<u4")
-        out += [packed[x:x + k].tobytes() for x, k in zip(first.tolist(), words.tolist())]
-    return out
+    at, bits = _places(widths, counts)
+    words = (bits + 31) >> 5
+    first = np.cumsum(words) - words
+    packed = np.zeros(int(words.sum()) + 2, np.int64)   # ids without lower bits may end a word
+    if len(values):
+        part = (values & _MASKS[widths]) << (at & 31)
+        word = at >> 5
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        whole = np.bitwise_or.reduceat(part, heads)
+        packed[word[heads]] = whole & 0xFFFFFFFF
+        packed[word[heads] + 1] |= whole >> 32
+    packed = packed.astype("<u4")
+    return [packed[x:x + k].tobytes() for x, k in zip(first.tolist(), words.tolist())]
+
+
+def _places(widths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At which bit each value begins, if every lane begins a word, and the bits of each lane."""
+    ends = np.cumsum(widths)
+    starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    bits = np.diff(starts)
+    words = (bits + 31) >> 5
+    return ends - widths + np.repeat(((np.cumsum(words) - words) << 5) - starts[:-1], counts), bits
 
 
 def _unpack(data: list[bytes], widths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The values whose lower bits ``_pack`` gives."""
-    out = np.zeros(len(widths), np.int64)
-    edges = np.concatenate([[0], np.cumsum(counts)])
-    for lane in range(0, len(counts), TOGETHER):
-        some, parts = counts[lane:lane + TOGETHER], data[lane:lane + TOGETHER]
-        a, b = edges[lane], edges[lane + len(some)]
-        width = widths[a:b]
-        ends = np.cumsum(width)
-        starts = np.concatenate([[0], ends])[edges[lane:lane + len(some) + 1] - a]
-        words = np.array([len(d) // 4 for d in parts], np.int64)
-        if (words != (np.diff(starts) + 31) >> 5).any():
-            raise ValueError("a block of token ids lacks bits")
-        at = ends - width + np.repeat(((np.cumsum(words) - words) << 5) - starts[:-1], some)
-        stream = np.frombuffer(b"".join(d[:len(d) // 4 * 4] for d in parts) + bytes(8), "<u4").astype(np.int64)
-        word = at >> 5
-        out[a:b] = ((stream[word] | stream[word + 1] << 32) >> (at & 31)) & _MASKS[width]
-    return out
+    at, bits = _places(widths, counts)
+    if any(len(d) != n for d, n in zip(data, ((bits + 31 >> 5) * 4).tolist())):
+        raise ValueError("a block of token ids lacks bits")
+    stream = np.frombuffer(b"".join(data) + bytes(8), "<u4").astype(np.int64)
+    word = at >> 5
+    return ((stream[word] | stream[word + 1] << 32) >> (at & 31)) & _MASKS[widths]
 
 
 def _head(block: np.ndarray, table: bytes, wide: bool) -> bytes:
@@ -376,19 +366,24 @@ def _encode(blocks: list[np.ndarray], order: list[int], wide: bool, out: list[by
     rows = np.zeros((len(order), int(lengths[0])), np.uint64 if wide else np.uint32)
     for row, i in zip(rows, order):
         row[:len(blocks[i])] = blocks[i]
-    coder = _Writer(len(order), int(lengths[0]))
+    coder = _Writer(len(order), 5 * int(lengths[0]) // 8 + 2)       # a hit or miss has less than ten bits
     missed = np.ascontiguousarray(_hits(coder, lengths, np.ascontiguousarray(rows.T), None, None).T)
-    hits, counts, values = coder.finished(), np.count_nonzero(missed, axis=1), rows[missed].astype(np.int64)
-    symbols = (_symbols(values) if wide else _symbols(np.arange(1 << 16)).take(values)).astype(np.uint16)
-    width = int(symbols.max(initial=0)) + 1
-    seen = np.bincount(np.repeat(np.arange(len(order)) * width, counts) + symbols, minlength=len(order) * width).reshape(-1, width)
+    hits, counts = coder.finished(), np.count_nonzero(missed, axis=1)
+    table = _symbols(np.arange(1 << 16))
+    padded = np.zeros((len(order), int(counts.max())), np.uint16)
+    seen, lower = np.zeros((len(order), _SYMBOLS if wide else int(table[-1]) + 1), np.int64), []
+    for lane in range(0, len(order), TOGETHER):
+        part, number = slice(lane, lane + TOGETHER), counts[lane:lane + TOGETHER]
+        values = rows[part][missed[part]].astype(np.int64)
+        symbols = _symbols(values) if wide else table.take(values)
+        padded[part][np.arange(padded.shape[1]) < number[:, None]] = symbols
+        which = np.repeat(np.arange(len(number)) * seen.shape[1], number) + symbols
+        seen[part] = np.bincount(which, minlength=seen[part].size).reshape(len(number), -1)
+        lower += _pack(values, _LEFT.take(symbols), number)
     levels = _LEVEL[-(-seen * _SCALE[-1] // np.maximum(seen.max(axis=1), 1)[:, None])]
     ranked = np.argsort(-counts, kind="stable")
-    padded = np.zeros((len(order), int(counts.max())), np.uint16)
-    padded[np.arange(padded.shape[1]) < counts[:, None]] = symbols
     coded = _code_symbols(np.ascontiguousarray(padded[ranked].T), counts[ranked], _sizes(levels[ranked]))
-    lower = _pack(values, _LEFT.take(symbols), counts)
-    nibbles = np.pad(levels, ((0, 0), (0, width % 2))).astype(np.uint8)
+    nibbles = np.pad(levels, ((0, 0), (0, levels.shape[1] % 2))).astype(np.uint8)
     nibbles = nibbles[:, 0::2] | nibbles[:, 1::2] << 4
     used = np.where(counts > 0, nibbles.shape[1] - (nibbles[:, ::-1] > 0).argmax(axis=1), 0)
     for words, lane in zip(coded, ranked.tolist()):
@@ -427,10 +422,14 @@ def _decode(blocks: list[bytes], heads: list[tuple], order: list[int], wide: int
     ranked = np.argsort(-counts, kind="stable")
     found = np.empty((len(order), int(counts.max())), np.uint16)
     found[ranked] = _read_symbols([words[lane] for lane in ranked], counts[ranked], _sizes(levels[ranked])).T
-    symbols = found[np.arange(found.shape[1]) < counts[:, None]]
-    left = _LEFT.take(symbols)
-    values = _FLOOR.take(symbols) | _unpack(lower, left, counts)
     ids = np.zeros((int(lengths[0]), len(order)), np.uint64 if wide else np.uint32)
-    _hits(_Reader(hits), lengths, ids, np.append(values, 0).astype(ids.dtype), np.cumsum(counts) - counts)
+    first = np.cumsum(counts) - counts
+    misses = np.zeros(int(counts.sum()) + 1, ids.dtype)
+    for lane in range(0, len(order), TOGETHER):
+        part, number = slice(lane, lane + TOGETHER), counts[lane:lane + TOGETHER]
+        symbols = found[part][np.arange(found.shape[1]) < number[:, None]]
+        left = _LEFT.take(symbols)
+        misses[first[lane]:first[lane] + len(left)] = _FLOOR.take(symbols) | _unpack(lower[part], left, number)
+    _hits(_Reader(hits), lengths, ids, misses, first)
     for row, i in zip(np.ascontiguousarray(ids.T).astype("<u4"), order):
         out[i] = row[:heads[i][1]]

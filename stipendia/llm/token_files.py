@@ -24,6 +24,7 @@ from stipendia.llm.tokens import tokenizer
 
 BLOCK = 4096   # ids of a block
 LANES = 2048   # blocks coded side by side; bounds the memory of a task
+ROWS, TEXT = 2000, 8_000_000  # documents and bytes of text tokenized at once
 
 _BLOCK_ROW = "shard int, block long, n_ids int, docs array<struct<doc:{id},number:long,before:long,n:int>>, payload binary"
 
@@ -76,9 +77,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col:
                 ("shard", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()),
                 ("docs", pa.list_(pa.struct([("doc", batch.schema.field(0).type), ("number", pa.int64()), ("before", pa.int64()), ("n", pa.int32())]))),
                 ("payload", pa.binary())])
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                for doc, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1))):
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                for doc, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1), TEXT)):
                     waiting.append((doc, number, 0, ids + end))
                     size, number = size + len(ids) // 4 + 1, number + 1
                 if size >= BLOCK * LANES:

@@ -86,13 +86,15 @@ class PartTokenizer:
         begins[order] = np.cumsum(counts[order]) - counts[order]
         return counts, _gathered(ids, begins, counts)
 
-    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text; null and empty texts have none."""
+    def encode(self, texts: list[str | None] | pa.Array, together: int | None = None) -> list[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text; null and empty texts have none.  Looking up costs some time
+        for every ``together`` bytes (at most, unless one text is longer), which take memory at once."""
+        together = together or _TOGETHER
         column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
         taken = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
         out, start = [], 0
         while start < len(column):
-            end = max(start + 1, int(np.searchsorted(taken, (taken[start - 1] if start else 0) + _TOGETHER, "right")))
+            end = max(start + 1, int(np.searchsorted(taken, (taken[start - 1] if start else 0) + together, "right")))
             out += self._encode_some(column.slice(start, end - start))
             start = end
         return out
