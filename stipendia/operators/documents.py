@@ -167,10 +167,17 @@ def template_of(text: Column) -> Column:
 
 # --- duplicates ----------------------------------------------------------------------------------
 
-def fingerprints(docs: DataFrame, content: str = "content") -> DataFrame:
-    """Documents with the hash of their bytes and the number of documents sharing it."""
-    hashed = docs.withColumn("fingerprint", F.sha2(F.col(content).cast("binary"), 256)).drop(content)
-    return with_key_count(hashed, ["fingerprint"], "copies")
+def hashed(docs: DataFrame, content: str = "content") -> DataFrame:
+    """Documents with the hash of their bytes in place of the bytes."""
+    return docs.withColumn("fingerprint", F.sha2(F.col(content).cast("binary"), 256)).drop(content)
+
+
+def fingerprints(docs: DataFrame, content: str | None = "content") -> DataFrame:
+    """Documents with the hash of their bytes and the number of documents sharing it.
+
+    Without ``content`` the documents are ``hashed`` already, as those of several batches are.
+    """
+    return with_key_count(hashed(docs, content) if content else docs, ["fingerprint"], "copies")
 
 
 def duplicate_documents(docs: DataFrame, owner: str, slot: str, content: str = "content") -> DataFrame:
@@ -179,8 +186,7 @@ def duplicate_documents(docs: DataFrame, owner: str, slot: str, content: str = "
     Copies are counted per (fingerprint, owner) and per slot; pairs of copies
     are never formed, so a heavily copied document stays cheap.
     """
-    hashed = docs.withColumn("fingerprint", F.sha2(F.col(content).cast("binary"), 256)).drop(content)
-    per_owner = with_key_count(hashed, ["fingerprint", owner], "owner_copies")
+    per_owner = with_key_count(hashed(docs, content), ["fingerprint", owner], "owner_copies")
     per_slot = with_key_count(per_owner, ["fingerprint", owner, slot], "slot_copies")
     return per_slot.where(F.col("owner_copies") > 1).withColumn(
         "only_same_slot", F.col("owner_copies") == F.col("slot_copies"))

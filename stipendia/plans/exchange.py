@@ -262,9 +262,12 @@ SELECT doc_id, fingerprint, CAST(length AS BIGINT) AS length, count(*) OVER (PAR
 def _(t):
     """One file a document, read as bytes: fingerprint, copies and the first of them."""
     folder = work_folder(t.spark)
-    t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").write.mode(
-        "overwrite").partitionBy("doc_id").text(folder)
-    found = readers.files(t.spark, folder).withColumn("doc_id", F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("long"))
-    marked = documents.fingerprints(found.select("doc_id", "length", "content"))
+    hashed = t.spark.createDataFrame([], "doc_id long, length long, fingerprint string")
+    hashed.write.parquet(f"{folder}/hashed")
+    docs = t.raw("documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    for found in readers.file_batches(t.spark, sinks.write_texts(docs, f"{folder}/files", "name", "text")):
+        ids = found.select(sinks.file_name(F.col("path")).try_cast("long").alias("doc_id"), "length", "content")
+        documents.hashed(ids).write.mode("append").parquet(f"{folder}/hashed")
+    marked = documents.fingerprints(t.spark.read.schema(hashed.schema).parquet(f"{folder}/hashed"), content=None)
     first = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"))
     return marked.join(first, "fingerprint").select("doc_id", "fingerprint", "length", "copies", "first_doc")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -118,12 +119,31 @@ def tolerant_manifest(spark: SparkSession, path: str, schema: str, required: str
     return good, bad
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
     """File contents with path and length, for fingerprints only."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
             .select("path", "length", "content"))
 
 
+# Files that the driver plans at once.
+BATCH_FILES = 32_768
+
+
+def file_batches(spark: SparkSession, folders: list[tuple[str, int]]) -> Iterator[DataFrame]:
+    """The contents of all files of folders, given with their numbers of files, some folders at a time.
+
+    The driver holds the names of one batch only.  Spark plans a task for every few files; here one reads about a folder.
+    """
+    batch: list[str] = []
+    planned = 0
+    for n, (folder, count) in enumerate(folders, 1):
+        batch.append(folder)
+        planned += count
+        if planned >= BATCH_FILES or n == len(folders):
+            yield files(spark, batch).coalesce(len(batch))
+            batch, planned = [], 0
+
+
 def stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_trigger: int = 64) -> DataFrame:
     """An append-only log folder as a stream, with a bounded intake per trigger."""
     return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stipendia.operators.frames import latest_by
 
@@ -88,6 +93,62 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+# Files in one folder, and bytes of text after which the next folder begins.
+FOLDER_FILES, FOLDER_BYTES = 1024, 64 << 20
+
+
+def write_texts(df: DataFrame, path: str, name: str, text: str) -> list[tuple[str, int]]:
+    """One text file a row, ending in a line end; gives the folders and about how many files each holds.
+
+    ``name`` is part of the file's path, without slashes, and may repeat; ``file_name`` finds it there.  Only folders of the tasks that
+    succeeded are given, so whatever a lost attempt has left is not read.  In a file system of the machine Spark's writer
+    starts a process a file to set its rights and makes a folder for each; there the tasks write the files themselves.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = df.select(F.concat(F.lit("name="), F.col(name), F.lit("-"), F.monotonically_increasing_id()).alias("name"), F.col(text).alias("text"))
+    if store.getUri().getScheme() != "file":
+        return _texts_by_spark(rows, path, store, root)
+    local = store.makeQualified(root).toUri().getPath()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, written, size = None, 0, 0
+        for batch in batches:
+            for label, content in zip(batch.column(0), batch.column(1)):
+                if folder is None or written == FOLDER_FILES or size >= FOLDER_BYTES:
+                    if folder:
+                        yield _counted(folder, written)
+                    folder, written, size = uuid.uuid4().hex, 0, 0
+                    os.makedirs(f"{local}/{folder}")
+                content = content.as_buffer()
+                with open(f"{local}/{folder}/{label}.txt", "xb") as file:
+                    file.write(content)
+                written, size = written + 1, size + content.size
+        if folder:
+            yield _counted(folder, written)
+
+    content = F.concat("text", F.lit("\n")).cast("binary").alias("content")
+    return [(f"{path}/{r.folder}", r.files) for r in rows.select("name", content).mapInArrow(run, "folder string, files long").collect()]
+
+
+def _counted(folder: str, files: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"folder": pa.array([folder], pa.string()), "files": pa.array([files], pa.int64())})
+
+
+def _texts_by_spark(rows: DataFrame, path: str, store, root) -> list[tuple[str, int]]:
+    """The same files for a store that only Spark's writer reaches; a folder is written by one task and moved at once."""
+    folders = max(1, -(-rows.count() // FOLDER_FILES))
+    named = rows.select(F.pmod(F.xxhash64("name"), F.lit(folders)).alias("folder"), F.expr("substr(name, 6)").alias("name"), "text")
+    named.repartition("folder").write.partitionBy("folder", "name").text(path)
+    return [(s.getPath().toString(), FOLDER_FILES) for s in store.listStatus(root) if s.isDirectory()]
+
+
+def file_name(path: Column) -> Column:
+    """The name under which ``write_texts`` has written a file."""
+    return F.regexp_extract(path, r"/name=([^/]*)-[0-9]+(?:/|\.txt$)", 1)
+
+
 def write_delta(batch: DataFrame, epoch: int, path: str, keys: list[str], order: list[str]) -> None:
     """Changed keys of one micro-batch as their own folder; a replayed batch overwrites itself."""
     latest_by(batch, keys, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
